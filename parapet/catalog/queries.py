@@ -33,7 +33,7 @@ from parapet.operators.sequences import (
     shape_sequences,
     vocabulary,
 )
-from parapet.session import shared_folder
+from parapet.session import shared_folder, spread
 from parapet.sources.messages import clean_messages
 from parapet.sources.samples import dataset_size, read_samples, write_samples
 from parapet.streaming.messages import guard_stream, read_message_stream, write_guarded
@@ -44,19 +44,27 @@ SEQUENCE_LENGTH = 256
 
 
 # --- tables ----------------------------------------------------------------------------
+_KEYS = {"documents": DOC, "conversations": TURN}
+
+
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of texts, spread over all cores before the work on each text."""
+    return spread(_table(spark, sf, name).select(*columns), *_KEYS[name])
+
+
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents, each with a probe appended."""
-    docs = _table(spark, sf, "documents")
+    docs = _texts(spark, sf, "documents", "doc_id", "source", "text")
     return docs.select("doc_id", "source", probed(F.col("text"), F.col("doc_id")).alias("text"))
 
 
 def _conversations(spark: SparkSession, sf: str) -> DataFrame:
     """Whole conversations, each turn with a probe appended."""
-    turns = _table(spark, sf, "conversations")
+    turns = _texts(spark, sf, "conversations", *TURN, "role", "text")
     key = F.col("conv_id") * 31 + F.col("turn")
     return turns.select(*TURN, "role", probed(F.col("text"), key).alias("text"))
 
@@ -111,7 +119,7 @@ def _attached(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf, "documents", "doc_id", "text")
     return instruction_pairs(chunk_documents(docs, DOC), DOC)
 
 
@@ -302,7 +310,7 @@ def check_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """Turns with surrounding blanks; those of system messages are replaced by exit words."""
-    turns = _table(spark, sf, "conversations")
+    turns = _texts(spark, sf, "conversations", *TURN, "role", "text")
     words = F.array(*[F.lit(w) for w in (" Quit\n", "EXIT", "\tq ", "  ", "quit it")])
     said = F.when(
         F.col("role") == "system", F.get(words, (F.col("conv_id") % 5).cast("int"))
@@ -312,16 +320,16 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- documents -----------------------------------------------------------------------------
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "documents").select("doc_id", clean(F.col("text")).alias("text"))
+    return _texts(spark, sf, "documents", "doc_id", "text").select("doc_id", clean(F.col("text")).alias("text"))
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf, "documents", "doc_id", "text")
     return chunk_documents(docs, DOC).select("doc_id", *_long("chunk_no"), "chunk", *_long("n_words"))
 
 
 def chunks_short(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf, "documents", "doc_id", "text")
     cut = chunk_documents(docs, DOC, chunk_size=60, overlap=15)
     return cut.select("doc_id", *_long("chunk_no"), "chunk", *_long("n_words"))
 
@@ -333,13 +341,13 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus_summary(_table(spark, sf, "documents"))
+    return corpus_summary(_texts(spark, sf, "documents", "doc_id", "text"))
 
 
 def samples_file(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs written as JSON lines and read back."""
     folder = _scratch(spark, "samples")
-    docs = _table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = _texts(spark, sf, "documents", "doc_id", "source", "text")
     key = ("doc_id", "source")
     write_samples(instruction_pairs(chunk_documents(docs, key), key), f"{folder}/rows")
     return read_samples(spark, f"{folder}/rows")

@@ -15,7 +15,12 @@ from parapet.config import GuardConfig
 from parapet.functions.grounding import grounding
 from parapet.functions.pii import mask_entities, pii_entities
 from parapet.functions.text import fold_case, let, quoted_list, two_decimals
-from parapet.functions.toxicity import injection_match, toxicity_counts, toxicity_result
+from parapet.functions.toxicity import (
+    injection_match,
+    toxicity_counts,
+    toxicity_result,
+    toxicity_suspected,
+)
 
 CHECK = "struct<name:string,status:string,details:string>"
 GUARD = f"struct<blocked:boolean,text:string,reason:string,checks:array<{CHECK}>>"
@@ -143,7 +148,7 @@ def input_guard(text: Column, config: GuardConfig | dict | None = None) -> Colum
         )
 
     return let(
-        let(fold_case(text), findings),
+        let(F.when(toxicity_suspected(text), fold_case(text)), findings),
         lambda f: input_result(
             text, f["phrase"], f["tox"], f["entities"], mask_entities(text, f["entities"])
         ),
@@ -176,4 +181,4 @@ def output_guard(
             ),
         )
 
-    return let(let(fold_case(text), findings), judged)
+    return let(let(F.when(toxicity_suspected(text), fold_case(text)), findings), judged)

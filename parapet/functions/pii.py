@@ -6,79 +6,94 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parapet import lexicon
-from parapet.functions.text import fold_case, let, to_java, to_java_loose
+from parapet.functions.text import let, to_java
 
 ENTITY = "struct<type:string,value:string,start:int,end:int>"
 PII = f"struct<has_pii:boolean,entities:array<{ENTITY}>,masked_text:string,original_text:string>"
 
 _NO_ENTITIES = f"array<{ENTITY}>"
 
-# Each numeric type holds either three digits in a row or two numbers around . / or -
-_DIGITS = r"\p{Nd}(?:\p{Nd}\p{Nd}|\p{Nd}?[./-]\p{Nd})"
-
-
-def _checks(text: Column, folded: Column) -> list[tuple[Column, list[str]]]:
-    """Cheap necessary conditions, each with the types it stands for."""
-    key = folded.contains("sk-") | folded.contains("ghp_") | folded.contains("akia")
-    numeric = [k for k in lexicon.PII_PATTERNS if k not in ("email", "api_key")]
-    return [
-        (text.contains("@"), ["email"]),
-        (text.rlike(_DIGITS), numeric),
-        (key, ["api_key"]),
-    ]
+# The word characters and the others a match of each type can start with.
+_FIRST = {
+    "email": ("[A-Za-z0-9_]", "[.%+-]"),
+    "phone": (r"\d", "[+(]"),
+    "ssn": (r"\d", None),
+    "credit_card": (r"\d", None),
+    "ip_address": (r"\d", None),
+    "badge_id": ("[EBI]", None),
+    "dob": ("[DB]", None),
+    "api_key": ("[SGA]", None),
+}
+
+# What a match cannot do without: for numeric types the part from its first certain digit on.
+_DIGITS = {
+    "phone": r"\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}",
+    "ssn": r"\d{3}-\d{2}-\d{4}",
+    "credit_card": r"\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}",
+    "ip_address": r"\d\.\d{1,3}\.\d{1,3}\.\d",
+    "badge_id": r"(?<=[PED][-#]?)\d{4}",
+    "dob": r"\d[/-]\d{1,2}[/-]\d{2}",
+}
+_KEY = r"(?=[SGA])(?:sk-|ghp_|AKIA)[A-Za-z0-9]{16}"
+
+
+def _checks(text: Column) -> tuple[Column, dict[str, Column]]:
+    """Necessary conditions without look-arounds at most positions: for any type, and by type.
+
+    The check for any type is a byte search and one regex pass.
+    """
+    by_type = {k: text.rlike(to_java(rf"(?=\d)(?:{p})")) for k, p in _DIGITS.items()}
+    by_type["email"] = text.contains("@")
+    by_type["api_key"] = text.rlike(to_java(_KEY))
+    numeric = rf"(?=\d)(?:{'|'.join(_DIGITS.values())})"
+    return by_type["email"] | text.rlike(to_java(f"{numeric}|{_KEY}")), by_type
 
 
-def _located(text: Column, kind: str, pattern: str) -> Column:
-    """All matches of one type with code point offsets.
+def _located(part: Column) -> Column:
+    """Entities with code point offsets from one type's matches and the pieces between them.
 
-    The pieces between the matches and the matches themselves alternate, so a running sum
-    of their lengths gives every offset.
+    Pieces and matches alternate, so a running sum of their lengths gives every offset; the piece
+    after the last match has no partner.
     """
-    java = to_java(pattern)
-    found = F.regexp_extract_all(text, F.lit(java), F.lit(0))
-    gaps = F.transform(F.split(text, java, -1), F.length)
     pieces = F.zip_with(
-        found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(v.alias("v"), g.alias("g"))
+        part["found"], part["gaps"],
+        lambda v, g: F.struct(v.alias("v"), F.length(g).alias("g"), F.length(v).alias("n")),
     )
 
-    def step(acc, piece):
+    def step(acc: Column, piece: Column) -> Column:
         start = acc["at"] + piece["g"]
-        end = start + F.length(piece["v"])
+        end = start + piece["n"]
         entity = F.struct(
-            F.lit(kind).alias("type"), piece["v"].alias("value"),
+            part["kind"].alias("type"), piece["v"].alias("value"),
             start.alias("start"), end.alias("end"),
         )
-        return F.struct(
-            end.alias("at"), F.concat(acc["out"], F.array(entity.cast(ENTITY))).alias("out")
-        )
+        further = F.struct(end.alias("at"), F.concat(acc["out"], F.array(entity)).alias("out"))
+        return F.when(piece["v"].isNull(), acc).otherwise(further)
 
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(_NO_ENTITIES).alias("out"))
-    return F.aggregate(pieces, empty, step)["out"]
+    return F.aggregate(pieces, empty, step, lambda acc: acc["out"])
 
 
-def pii_entities(text: Column, folded: Column | None = None) -> Column:
+def pii_entities(text: Column) -> Column:
     """All entities of a text, by type in scan order, then by position; null for null.
 
-    Types may overlap; every type scans the original text. A text is first searched for the
-    characters a type cannot do without, then for its pattern without word boundaries; only
-    texts that pass are scanned in full. ``folded`` is ``fold_case(text)`` where it is known.
+    Types may overlap; every type scans the original text, and only texts that hold what a match
+    of the type cannot do without.
     """
+    worth, by_type = _checks(text)
+    parts = []
+    for kind, pattern in lexicon.PII_PATTERNS.items():
+        java = to_java(pattern, _FIRST[kind])
+        part = F.struct(
+            F.lit(kind).alias("kind"),
+            F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("found"),
+            F.split(text, java, -1).alias("gaps"),
+        )
+        parts.append(F.when(by_type[kind], part))
+    scanned = F.filter(F.array(*parts), lambda part: part.isNotNull())
+    found = F.flatten(F.transform(scanned, _located))
     none = F.array().cast(_NO_ENTITIES)
-    loose = {k: text.rlike(to_java_loose(p)) for k, p in lexicon.PII_PATTERNS.items()}
-    worth, any_worth = {}, F.lit(False)
-    for quick, kinds in _checks(text, fold_case(text) if folded is None else folded):
-        some = F.lit(False)
-        for kind in kinds:
-            some = some | loose[kind]
-            worth[kind] = quick & loose[kind]
-        any_worth = any_worth | (quick & some)
-    found = F.concat(
-        *[
-            F.when(worth[k], _located(text, k, p)).otherwise(none)
-            for k, p in lexicon.PII_PATTERNS.items()
-        ]
-    )
-    return F.when(any_worth, found).when(text.isNotNull(), none)
+    return F.when(worth, found).when(text.isNotNull(), none)
 
 
 def mask_entities(text: Column, entities: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 # Whitespace as ``str.split``/``str.strip`` see it: Unicode white space plus U+001C..U+001F.
 _SPACE = r"\s\x1c-\x1f"
 _WORD = r"[\p{L}\p{N}_]"
-_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+# Java only looks back over whole code points beyond U+FFFF where the look-behind names one, so
+# one such letter stands in the class.
+_BEFORE = "[\\p{L}\\p{N}_\U0001d49c]"
+_BOUNDARY = f"(?:(?<={_BEFORE})(?!{_WORD})|(?<!{_BEFORE})(?={_WORD}))"
 
 # Letters outside ASCII that match an ASCII letter when case is ignored: dotted and dotless i,
 # long s, Kelvin sign, and the ASCII letters they match.
@@ -24,17 +27,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def to_java(pattern: str) -> str:
+def to_java(pattern: str, first: tuple[str, str | None] | None = None) -> str:
     """A case-insensitive Python ``str`` pattern as the Java pattern that matches the same text.
 
-    Java's ``\\b`` and ``\\s`` differ from Python's outside ASCII, so both are spelled out.
-    A boundary next to a plain letter or digit needs only one of the two look-arounds, which
-    is several times cheaper; any other boundary keeps both directions.
+    Java's ``\\b`` and ``\\s`` differ from Python's outside ASCII, so both are spelled out, and the
+    look-arounds that takes are kept away from most positions of a text: a leading boundary is
+    tested after the literal behind it has matched, or after a look at the next character where
+    ``first`` names the characters a match can start with, as a class of word characters and a
+    class of others or ``None``.
     """
+    start = ""
+    if pattern.startswith(r"\b"):
+        pattern = pattern[2:]
+        literal = re.match(r"[A-Za-z]+(?![?*+{])|", pattern).group()
+        if literal:
+            start, pattern = f"{literal}(?<!{_BEFORE}{literal})", pattern[len(literal) :]
+        elif first:
+            word, other = first
+            start = f"(?={word})(?<!{_BEFORE})"
+            if other:
+                start = f"(?:{start}|(?={other})(?<={_BEFORE}))"
+        else:
+            start = _BOUNDARY
     out, i, in_class = [], 0, False
     while i < len(pattern):
         token = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
-        rest = pattern[i + len(token) :]
+        last = i + len(token) == len(pattern)
         if token == "[" and not in_class:
             in_class = True
         elif token == "]":
@@ -42,36 +60,40 @@ def to_java(pattern: str) -> str:
         if token == r"\s":
             out.append(_SPACE if in_class else f"[{_SPACE}]")
         elif token == r"\b":
-            if re.match(r"[A-Za-z0-9]|\\d", rest):
-                out.append(f"(?<!{_WORD})")
-            elif not rest and re.search(r"(?<!\\)[A-Za-z0-9]$|\\d(\{\d+\})?$", pattern[:i]):
-                out.append(f"(?!{_WORD})")
-            else:
-                out.append(_BOUNDARY)
+            after_word = re.search(r"[A-Za-z]$|\\d(\{\d+(,\d+)?\})?$", pattern[:i])
+            out.append(f"(?!{_WORD})" if last and after_word else _BOUNDARY)
         else:
             out.append(token)
         i += len(token)
-    return "(?iU)" + "".join(out)
-
-
-def to_java_loose(pattern: str) -> str:
-    """The Java pattern without its word boundaries: matches wherever the full one does, and more.
-
-    Used as a pre-check, because a scan without look-arounds is far cheaper.
-    """
-    return to_java(pattern.replace(r"\b", ""))
+    return "(?iU)" + start + "".join(out)
 
 
 def required_words(pattern: str) -> list[str]:
     """Lower-case letter runs that every match of ``pattern`` contains.
 
     Optional parts, groups and character classes are removed first, so only mandatory
-    literals remain; one-letter runs are too common to be worth a check.
+    literals remain; one-letter runs are too common to be worth a check. Long runs, which are
+    rare in texts, come first.
     """
     plain = re.sub(r"\\[a-z]\+?", " ", pattern)
     plain = re.sub(r"\([^()]*\)\??", " ", plain)
     plain = re.sub(r"\[[^\]]*\]\??", " ", plain)
-    return [w.lower() for w in re.findall(r"[A-Za-z]{2,}", plain)]
+    return sorted((w.lower() for w in re.findall(r"[A-Za-z]{2,}", plain)), key=len, reverse=True)
+
+
+def any_of(patterns: Iterable[str]) -> str:
+    """One Java pattern that occurs in ``" " + text`` wherever one of the patterns occurs in text.
+
+    Each pattern starts with a boundary and a letter, so a match follows a character that is no
+    ASCII letter: most positions are ruled out by that one test, and the first letter then
+    selects the few alternatives left. It may occur in more texts, as the boundaries are loose.
+    """
+    by_letter: dict[str, list[str]] = {}
+    for pattern in patterns:
+        bare = pattern.replace(r"\b", "").replace(r"\s", f"[{_SPACE}]")
+        by_letter.setdefault(bare[0].lower(), []).append(bare[1:])
+    options = [f"{letter}(?:{'|'.join(rest)})" for letter, rest in sorted(by_letter.items())]
+    return f"(?iU)[^a-z](?:{'|'.join(options)})"
 
 
 def fold_case(text: Column) -> Column:
@@ -104,11 +126,23 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, f"(?U)[{_SPACE}]+"), "")
 
 
+def first_tokens(text: Column, count: int) -> Column:
+    """The first ``count`` words; the rest of a long text is not split."""
+    # One piece may be empty before leading whitespace, and the last one is the unsplit rest.
+    pieces = F.split(text, f"(?U)[{_SPACE}]+", count + 2)
+    return F.slice(F.array_remove(pieces, ""), 1, count)
+
+
 def strip(text: Column) -> Column:
-    """Text without leading and trailing whitespace (linear on long runs of blanks)."""
-    return F.regexp_replace(
-        text, rf"(?U)\A[{_SPACE}]++|(?<![{_SPACE}])[{_SPACE}]++\z", ""
+    """Text without leading and trailing whitespace (linear on long runs of blanks).
+
+    Only a text that starts or ends with whitespace is rewritten.
+    """
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    stripped = F.regexp_replace(
+        text, rf"(?U)\A[{_SPACE}]++|(?=[{_SPACE}])(?<![{_SPACE}])[{_SPACE}]++\z", ""
     )
+    return F.when(ends.rlike(f"(?U)[{_SPACE}]"), stripped).otherwise(text)
 
 
 def sentences(text: Column) -> Column:

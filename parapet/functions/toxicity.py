@@ -8,16 +8,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parapet import lexicon
-from parapet.functions.text import fold_case, let, matches
+from parapet.functions.text import any_of, fold_case, let, matches
 
 FLAG = "struct<category:string,score:double,matches:int>"
 TOXICITY = f"struct<is_toxic:boolean,score:double,flagged_categories:array<{FLAG}>>"
 
 
+def toxicity_suspected(text: Column) -> Column:
+    """False where no toxicity pattern can occur: one pass over the text for all of them."""
+    patterns = [p for listed in lexicon.TOXICITY_PATTERNS.values() for p in listed]
+    return F.concat(F.lit(" "), text).rlike(any_of(patterns))
+
+
 def toxicity_counts(text: Column, folded: Column) -> Column:
     """Number of distinct patterns that match, one element per category; null for null.
 
-    ``folded`` is ``fold_case(text)``, passed in so that callers compute it once.
+    ``folded`` is ``fold_case(text)``, and null where ``toxicity_suspected`` is false.
     """
     counts = []
     for patterns in lexicon.TOXICITY_PATTERNS.values():
@@ -26,7 +32,8 @@ def toxicity_counts(text: Column, folded: Column) -> Column:
         for hit in hits[1:]:
             total = total + hit
         counts.append(total)
-    return F.when(text.isNotNull(), F.array(*counts))
+    none = F.array(*[F.lit(0) for _ in counts])
+    return F.when(folded.isNotNull(), F.array(*counts)).when(text.isNotNull(), none)
 
 
 def toxicity_result(counts: Column, threshold: float = lexicon.TOXICITY_THRESHOLD) -> Column:
@@ -62,7 +69,8 @@ def toxicity_result(counts: Column, threshold: float = lexicon.TOXICITY_THRESHOL
 
 def toxicity(text: Column, threshold: float = lexicon.TOXICITY_THRESHOLD) -> Column:
     """Toxicity struct of a text: ``is_toxic``, ``score``, ``flagged_categories``."""
-    counts = let(fold_case(text), lambda folded: toxicity_counts(text, folded))
+    folded = F.when(toxicity_suspected(text), fold_case(text))
+    counts = let(folded, lambda f: toxicity_counts(text, f))
     return let(counts, lambda c: toxicity_result(c, threshold))
 
 

@@ -14,7 +14,12 @@ from parapet.functions import guards as G
 from parapet.functions.grounding import GROUNDING
 from parapet.functions.pii import mask_entities, pii_entities, pii_result
 from parapet.functions.text import fold_case
-from parapet.functions.toxicity import injection_match, toxicity_counts, toxicity_result
+from parapet.functions.toxicity import (
+    injection_match,
+    toxicity_counts,
+    toxicity_result,
+    toxicity_suspected,
+)
 
 _FINDINGS = ("_phrase", "_folded", "_counts", "_tox", "_entities", "_safe")
 
@@ -33,13 +38,12 @@ def find(
         phrase = F.when(query, phrase)
     open_row = F.col("_phrase").isNull()
     return (
-        df.withColumns({"_phrase": phrase, "_folded": fold_case(text)})
+        df.withColumns(
+            {"_phrase": phrase, "_folded": F.when(toxicity_suspected(text), fold_case(text))}
+        )
         .withColumn("_counts", F.when(open_row, toxicity_counts(text, F.col("_folded"))))
         .withColumn("_tox", toxicity_result(F.col("_counts"), config.toxicity_threshold))
-        .withColumn(
-            "_entities",
-            F.when(~F.col("_tox.is_toxic"), pii_entities(text, F.col("_folded"))),
-        )
+        .withColumn("_entities", F.when(~F.col("_tox.is_toxic"), pii_entities(text)))
         .withColumn("_safe", mask_entities(text, F.col("_entities")))
     )
 
@@ -69,7 +73,7 @@ def with_toxicity(
     """Add the toxicity struct of a text column."""
     threshold = GuardConfig().toxicity_threshold if threshold is None else threshold
     return (
-        df.withColumn("_folded", fold_case(F.col(text)))
+        df.withColumn("_folded", F.when(toxicity_suspected(F.col(text)), fold_case(F.col(text))))
         .withColumn("_counts", toxicity_counts(F.col(text), F.col("_folded")))
         .withColumn(out, toxicity_result(F.col("_counts"), threshold))
         .drop("_folded", "_counts")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Call sites are looked up for every Column otherwise, which slows down building plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -26,6 +28,16 @@ def build_session(
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` over all cores where its scan has too few splits, else ``df`` itself.
+
+    A table of many splits, as any large one is, is not shuffled. Placing rows by ``key`` keeps
+    a retried task's rows the same.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession, name: str, default: str | None = None) -> str:
     """A folder below the one the cluster names in ``spark.checkpoint.dir``.
 
