@@ -38,19 +38,20 @@ def _claim_words(responses: DataFrame, ids: list[str], keep: list[str], text: st
     presence = F.array(
         F.struct(F.lit(None).cast("string").alias("claim"), F.array(F.lit(_PRESENCE)).alias("words"))
     )
-    per_claim = unfold(responses, [*ids, *keep], F.concat(presence, found), "c", "claim_no")
+    per_claim = unfold(responses, [*ids, *keep], F.concat(presence, found), "_c", "_claim_no")
     # The claim text travels with the first of its words only.
     return per_claim.select(
-        *ids, *keep, "claim_no", "c.claim", F.posexplode_outer("c.words").alias("word_no", "word")
-    ).withColumn("claim", F.when(F.coalesce(F.col("word_no"), F.lit(0)) == 0, F.col("claim")))
+        *ids, *keep, "_claim_no", F.col("_c.claim").alias("_claim"),
+        F.posexplode_outer("_c.words").alias("_word_no", "_word"),
+    ).withColumn("_claim", F.when(F.coalesce(F.col("_word_no"), F.lit(0)) == 0, F.col("_claim")))
 
 
 def _source_words(sources: DataFrame, key: list[str], text: str, first: str | None) -> DataFrame:
     """Distinct (key, word) of the sources; with ``first``, the smallest ``first`` per word."""
     told = F.array_distinct(tokens(F.lower(F.col(text))))
     keep = [*key, *([F.col(first).alias("_first")] if first else [])]
-    words = unfold(sources, keep, F.concat(F.array(F.lit(_PRESENCE)), told), "word", "no")
-    grouped = words.groupBy(*key, "word")
+    words = unfold(sources, keep, F.concat(F.array(F.lit(_PRESENCE)), told), "_word", "_no")
+    grouped = words.groupBy(*key, "_word")
     return grouped.agg(F.min("_first").alias("_first")) if first else grouped.agg(
         F.lit(True).alias("_first")
     )
@@ -88,7 +89,7 @@ def grounding_join(
 
     left = _claim_words(responses, ids, keep, response)
     right = _source_words(sources, key, source, before[1] if before else None)
-    on = [*key, "word"]
+    on = [*key, "_word"]
     if fanout > 1:
         left = left.withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(fanout)).cast("int"))
         right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))))
@@ -97,30 +98,30 @@ def grounding_join(
     if before:
         hit = hit & (F.col("_first") < F.col(before[0]))
     joined = left.join(right, on, "left").select(
-        *ids, "claim_no", "claim", "word", hit.alias("hit")
+        *ids, "_claim_no", "_claim", "_word", hit.alias("_hit")
     )
 
     # One shuffle by response serves both aggregations.
     placed = joined.repartition(*ids)
-    per_claim = placed.groupBy(*ids, "claim_no").agg(
-        F.max("claim").alias("claim"),
-        F.count("word").alias("n_words"),
-        F.count_if("hit").alias("overlap"),
+    per_claim = placed.groupBy(*ids, "_claim_no").agg(
+        F.max("_claim").alias("_claim"),
+        F.count("_word").alias("_n_words"),
+        F.count_if("_hit").alias("_overlap"),
     )
-    is_claim = F.col("claim_no") > 0
-    ok = is_supported(F.col("overlap"), F.col("n_words"))
+    is_claim = F.col("_claim_no") > 0
+    ok = is_supported(F.col("_overlap"), F.col("_n_words"))
     per_response = per_claim.groupBy(*ids).agg(
-        F.count_if(is_claim).alias("total"),
-        F.count_if(is_claim & ok).alias("supported"),
+        F.count_if(is_claim).alias("_total"),
+        F.count_if(is_claim & ok).alias("_supported"),
         F.array_sort(
-            F.collect_list(F.when(is_claim & ~ok, F.struct("claim_no", "claim")))
-        ).alias("open"),
-        F.max(~is_claim & (F.col("overlap") > 0)).alias("has_sources"),
+            F.collect_list(F.when(is_claim & ~ok, F.struct("_claim_no", "_claim")))
+        ).alias("_open"),
+        F.max(~is_claim & (F.col("_overlap") > 0)).alias("_has_sources"),
     )
     result = grounding_result(
-        F.col("total"), F.col("supported"), F.transform("open", lambda c: c["claim"]), threshold
+        F.col("_total"), F.col("_supported"), F.transform("_open", lambda c: c["_claim"]), threshold
     )
-    return per_response.select(*ids, F.when(F.col("has_sources"), result).alias("grounding"))
+    return per_response.select(*ids, F.when(F.col("_has_sources"), result).alias("grounding"))
 
 
 def guard_outputs_join(

@@ -22,7 +22,7 @@ def read_documents(spark: SparkSession, path: str, partitions: int | None = None
 
     Other files are left out while listing and never opened. ``partitions`` spreads a few very
     large files over more tasks than the scan would use. Names that start with ``_`` or ``.``
-    are hidden to Spark and not read.
+    are hidden to Spark and not read, and an empty file, which has no words, gives no row.
     """
     files = (
         spark.read.format("binaryFile")
