@@ -69,9 +69,14 @@ def _conversations(spark: SparkSession, sf: str) -> DataFrame:
     return turns.select(*TURN, "role", probed(F.col("text"), key).alias("text"))
 
 
+def _paired(spark: SparkSession, sf: str) -> DataFrame:
+    """Query and response pairs; the turns of the given table are numbered without gaps."""
+    return pair_turns(_conversations(spark, sf), consecutive=True)
+
+
 def _exchanges(spark: SparkSession, sf: str) -> DataFrame:
     """Query and response pairs; sources are the query, and for some the response or half of it."""
-    pairs = pair_turns(_conversations(spark, sf))
+    pairs = _paired(spark, sf)
     response = F.col("response")
     return pairs.withColumn(
         "sources", F.concat(F.array("query"), _own_sources(F.col("conv_id"), response))
@@ -287,11 +292,11 @@ def grounding_attached(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- exchanges -----------------------------------------------------------------------------
 def paired_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return pair_turns(_table(spark, sf, "conversations"), consecutive=False)
+    return pair_turns(_table(spark, sf, "conversations"))
 
 
 def exchanges(spark: SparkSession, sf: str) -> DataFrame:
-    guarded = guarded_exchanges(pair_turns(_conversations(spark, sf)))
+    guarded = guarded_exchanges(_paired(spark, sf))
     return guarded.select(
         *TURN, *_flat_guard("input", "input_"), *_flat_guard("output", "output_")
     )

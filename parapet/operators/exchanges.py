@@ -13,15 +13,15 @@ from parapet.operators.rows import unfold
 _SPAN = 1024
 
 
-def pair_turns(transcripts: DataFrame, consecutive: bool = True) -> DataFrame:
+def pair_turns(transcripts: DataFrame, consecutive: bool = False) -> DataFrame:
     """Each user turn with the assistant turn right after it: ``conv_id, turn, query, response``.
 
     A query that is not followed by an assistant turn keeps a null response.
 
-    With ``consecutive`` turn numbers the answer is at ``turn + 1``, so both sides meet on
-    ``(conv_id, turn)`` and a conversation of any length is spread over all tasks. Otherwise the
-    next turn is looked up inside spans of turn numbers, and the last turn of a span takes the
-    first turn of the conversation's next span.
+    The next turn is looked up inside spans of turn numbers, and the last turn of a span takes the
+    first turn of the conversation's next span, so no task orders a whole conversation. Where turn
+    numbers are known to be ``consecutive`` the answer is at ``turn + 1``, and both sides simply
+    meet on ``(conv_id, turn)``.
     """
     said = transcripts.filter(F.col("role") == "user")
     queries = said.select("conv_id", "turn", F.col("text").alias("query"))

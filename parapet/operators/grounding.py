@@ -20,30 +20,38 @@ from parapet.functions.grounding import (
     is_supported,
 )
 from parapet.functions.text import tokens
-from parapet.operators.guards import guard_outputs, with_pii
+from parapet.operators.guards import find, guard_of_findings
 from parapet.operators.rows import unfold
 
 # Stands for "this key has sources at all"; no real word is empty.
 _PRESENCE = ""
+_CLAIMS = "array<struct<claim:string,words:array<string>>>"
 
 
-def _claim_words(responses: DataFrame, ids: list[str], keep: list[str], text: str) -> DataFrame:
+def _claim_words(
+    responses: DataFrame, ids: list[str], keep: list[str], carry: list[str], text: str
+) -> DataFrame:
     """One row per response, claim and claim word, plus a presence row per response.
 
-    A claim whose words are all stop words still yields one row, with a null word.
+    A claim whose words are all stop words still yields one row, with a null word. The presence
+    row alone holds the carried columns, and of a claim's rows the first alone holds its text.
     """
     found = F.transform(
         claims(F.col(text)), lambda c: F.struct(c.alias("claim"), claim_words(c).alias("words"))
     )
-    presence = F.array(
-        F.struct(F.lit(None).cast("string").alias("claim"), F.array(F.lit(_PRESENCE)).alias("words"))
-    )
-    per_claim = unfold(responses, [*ids, *keep], F.concat(presence, found), "_c", "_claim_no")
-    # The claim text travels with the first of its words only.
-    return per_claim.select(
-        *ids, *keep, "_claim_no", F.col("_c.claim").alias("_claim"),
+    marker = F.when(F.col(text).isNotNull(), F.lit(_PRESENCE))
+    presence = F.struct(F.lit(None).cast("string").alias("claim"), F.array(marker).alias("words"))
+    listed = F.concat(F.array(presence), F.coalesce(found, F.array().cast(_CLAIMS)))
+    payload = F.struct(*carry) if carry else F.lit(None).cast("struct<>")
+    per_claim = unfold(responses, [*ids, *keep, payload.alias("_row")], listed, "_c", "_claim_no")
+    per_word = per_claim.select(
+        *ids, *keep, "_claim_no",
+        F.when(F.col("_claim_no") == 0, F.col("_row")).alias("_row"),
+        F.col("_c.claim").alias("_claim"),
         F.posexplode_outer("_c.words").alias("_word_no", "_word"),
-    ).withColumn("_claim", F.when(F.coalesce(F.col("_word_no"), F.lit(0)) == 0, F.col("_claim")))
+    )
+    first_word = F.coalesce(F.col("_word_no"), F.lit(0)) == 0
+    return per_word.withColumn("_claim", F.when(first_word, F.col("_claim"))).drop("_word_no")
 
 
 def _source_words(sources: DataFrame, key: list[str], text: str, first: str | None) -> DataFrame:
@@ -67,10 +75,12 @@ def grounding_join(
     before: tuple[str, str] | None = None,
     threshold: float | None = None,
     fanout: int = 1,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Grounding struct per response as ``(*ids, grounding)``; null grounding without sources.
+    """Grounding struct per response, ``(*ids, *carry, grounding)``; null without sources.
 
-    ``ids`` identify a response. ``key`` (default ``ids``) is what sources are shared by.
+    ``ids`` identify a response; ``carry`` names other columns of it to pass on, which saves
+    joining the result back. ``key`` (default ``ids``) is what sources are shared by.
     ``before=(response_column, source_column)`` counts only sources that come strictly
     earlier, as with the previous turns of a conversation: the earliest occurrence of a word
     decides, so no response is ever paired with each of its earlier turns.
@@ -87,7 +97,8 @@ def grounding_join(
     if before and before[0] not in ids + keep:
         keep.append(before[0])
 
-    left = _claim_words(responses, ids, keep, response)
+    carry = list(carry)
+    left = _claim_words(responses, ids, keep, carry, response)
     right = _source_words(sources, key, source, before[1] if before else None)
     on = [*key, "_word"]
     if fanout > 1:
@@ -98,8 +109,9 @@ def grounding_join(
     if before:
         hit = hit & (F.col("_first") < F.col(before[0]))
     joined = left.join(right, on, "left").select(
-        *ids, "_claim_no", "_claim", "_word", hit.alias("_hit")
+        *ids, "_row", "_claim_no", "_claim", "_word", hit.alias("_hit")
     )
+    carried = F.any_value("_row", F.lit(True)).alias("_row")
 
     # One shuffle by response serves both aggregations.
     placed = joined.repartition(*ids)
@@ -107,6 +119,7 @@ def grounding_join(
         F.max("_claim").alias("_claim"),
         F.count("_word").alias("_n_words"),
         F.count_if("_hit").alias("_overlap"),
+        carried,
     )
     is_claim = F.col("_claim_no") > 0
     ok = is_supported(F.col("_overlap"), F.col("_n_words"))
@@ -117,11 +130,16 @@ def grounding_join(
             F.collect_list(F.when(is_claim & ~ok, F.struct("_claim_no", "_claim")))
         ).alias("_open"),
         F.max(~is_claim & (F.col("_overlap") > 0)).alias("_has_sources"),
+        carried,
     )
     result = grounding_result(
         F.col("_total"), F.col("_supported"), F.transform("_open", lambda c: c["_claim"]), threshold
     )
-    return per_response.select(*ids, F.when(F.col("_has_sources"), result).alias("grounding"))
+    return per_response.select(
+        *ids,
+        *[F.col("_row")[c].alias(c) for c in carry],
+        F.when(F.col("_has_sources"), result).alias("grounding"),
+    )
 
 
 def guard_outputs_join(
@@ -136,16 +154,20 @@ def guard_outputs_join(
     fanout: int = 1,
     out: str = "output",
 ) -> DataFrame:
-    """Output guard of responses whose sources are a table; grounding sees the scrubbed text."""
+    """Output guard of responses whose sources are a table; grounding sees the scrubbed text.
+
+    The findings are made once and travel with each response's presence row, so the responses
+    are read and scanned a single time.
+    """
     cfg = GuardConfig.of(config)
-    scrubbed = with_pii(responses, response, "_pii").withColumn(
-        response, F.col("_pii.masked_text")
-    )
-    ground = grounding_join(
-        scrubbed.drop("_pii"), sources, ids, key, response, source, before,
-        cfg.hallucination_threshold, fanout,
+    ids = list(ids)
+    columns = responses.columns
+    findings = ["_tox", "_entities", "_safe"]
+    found = find(responses, response, cfg, query=F.lit(False)).select(*columns, *findings)
+    carry = [c for c in [*columns, *findings] if c not in ids]
+    judged = grounding_join(
+        found, sources, ids, key, "_safe", source, before,
+        cfg.hallucination_threshold, fanout, carry,
     )
-    known = responses.join(ground, list(ids), "left")
-    return guard_outputs(known, cfg, text=response, ground="grounding", out=out).drop("grounding")
-
-
+    guarded = judged.withColumn(out, guard_of_findings(F.col(response), F.col("grounding")))
+    return guarded.select(*columns, out)

@@ -54,7 +54,8 @@ def _input(text: Column) -> Column:
     )
 
 
-def _output(text: Column, ground: Column) -> Column:
+def guard_of_findings(text: Column, ground: Column) -> Column:
+    """Output guard result of a row that holds the findings, given its grounding."""
     return G.output_result(text, F.col("_tox"), F.col("_entities"), F.col("_safe"), ground)
 
 
@@ -105,7 +106,7 @@ def guard_outputs(
     found = find(df, text, cfg, query=F.lit(False))
     return (
         found.withColumn("_ground", _ground(cfg, sources, ground))
-        .withColumn(out, _output(F.col(text), F.col("_ground")))
+        .withColumn(out, guard_of_findings(F.col(text), F.col("_ground")))
         .drop(*_FINDINGS, "_ground")
     )
 
@@ -135,6 +136,9 @@ def guard_messages(
     return (
         found.withColumn("_ground", _ground(cfg, sources, None))
         .withColumn("input", F.when(is_query, _input(body)))
-        .withColumn("output", F.when(F.col(role) == "assistant", _output(body, F.col("_ground"))))
+        .withColumn(
+            "output",
+            F.when(F.col(role) == "assistant", guard_of_findings(body, F.col("_ground"))),
+        )
         .drop(*_FINDINGS, "_ground")
     )

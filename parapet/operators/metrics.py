@@ -54,17 +54,22 @@ def run_metrics(
     earlier = (Window.unboundedPreceding, -1)
     inside = Window.partitionBy("run_id", "_span").orderBy("epoch").rowsBetween(*earlier)
     spans = Window.partitionBy("run_id").orderBy("_span").rowsBetween(*earlier)
-    # Taking the minimum of the whole epoch row keeps this branch equal to the main one up to
-    # the shuffle of the roll-up, so Spark runs that once and reuses it.
+    # Taking the minimum of the whole epoch row, and joining null-safely, keep this branch equal to
+    # the main one up to the shuffle of the roll-up, so Spark runs that once and reuses it.
     lowest = (
         epochs.groupBy("run_id", "_span")
         .agg(F.min(F.struct("loss", "epoch", "time_s", "throughput"))["loss"].alias("_low"))
-        .select("run_id", "_span", F.min("_low").over(spans).alias("_low_spans"))
+        .select(
+            F.col("run_id").alias("_run"),
+            F.col("_span").alias("_of"),
+            F.min("_low").over(spans).alias("_low_spans"),
+        )
     )
+    same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("_span").eqNullSafe(F.col("_of"))
     best_before = F.least(F.col("_low_inside"), F.col("_low_spans"))
     return (
         epochs.withColumn("_low_inside", F.min("loss").over(inside))
-        .join(lowest, ["run_id", "_span"])
+        .join(lowest, same)
         .withColumn("is_best", best_before.isNull() | (F.col("loss") < best_before))
-        .drop("_span", "_low_inside", "_low_spans")
+        .drop("_span", "_low_inside", "_low_spans", "_run", "_of")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_FIELDS = ("instruction", "input", "output", "source")
 SAMPLE_SCHEMA = ", ".join(f"{field} string" for field in SAMPLE_FIELDS)
+_STEPS_PER_BLOCK = 65_536
 HISTORY_COLUMNS = ("run_id", "epoch", "loss", "time_s", "throughput")
 
 
@@ -31,13 +32,14 @@ def write_history(metrics: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def write_epoch_plan(plan: DataFrame, path: str, mode: str = "error") -> None:
-    """An epoch plan as parquet, one folder per rank, each file a run of consecutive steps.
+    """An epoch plan as parquet, one folder per rank, files ordered by step.
 
-    Ranging by rank and step gives each task a slice of one rank or of few, however the number
-    of ranks relates to the number of tasks, and so few files per rank.
+    A task takes whole blocks of consecutive steps of a rank, so ranks have few files each, and a
+    rank is written by as many tasks as it has blocks. Placing blocks by hash needs no sampling
+    pass over the plan.
     """
     (
-        plan.repartitionByRange("rank", "step")
+        plan.repartition("rank", F.floor(F.col("step") / _STEPS_PER_BLOCK))
         .sortWithinPartitions("rank", "step")
         .write.mode(mode)
         .partitionBy("rank")

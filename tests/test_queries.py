@@ -86,6 +86,13 @@ def test_patterns_run_once_per_row(spark, name):
     assert not re.search(r"Filter .*(regexp|RLIKE)", plan)
 
 
+def test_steps_are_rolled_up_once(spark):
+    df = queries()["run_metrics"](spark, SF)
+    df.collect()
+    final = plan_of(df).split("Initial Plan")[0]
+    assert final.count("partial_avg") == 1 and "ReusedExchange" in final
+
+
 @pytest.mark.parametrize("name", ["epoch_plan", "vocabulary", "grounding_history", "run_metrics"])
 def test_results_do_not_depend_on_partitions(spark, name):
     query = queries()[name]
