@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from parapet import lexicon
 from parapet.functions.text import strip, tokens
 
+# What a text must hold for any of the clean-up rewrites to change it.
+_MARKS = ("# ", "](", "**", "\n\n\n")
 PAIR = "struct<instruction:string,input:string,output:string>"
 
 
@@ -29,10 +31,16 @@ def decode_text(content: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Markdown headings, links, bold marks and runs of blank lines reduced to plain text."""
+    """Markdown headings, links, bold marks and runs of blank lines reduced to plain text.
+
+    A text with none of the marks the rewrites need is passed on after byte searches alone.
+    """
+    rewritten, marked = text, F.lit(False)
     for pattern, replacement in lexicon.MARKDOWN_REWRITES:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+        rewritten = F.regexp_replace(rewritten, pattern, replacement)
+    for mark in _MARKS:
+        marked = marked | text.contains(mark)
+    return F.when(marked, rewritten).otherwise(text)
 
 
 def word_chunks(

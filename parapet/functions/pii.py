@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parapet import lexicon
-from parapet.functions.text import let, to_java
+from parapet.functions.text import any_case, has_folding_letter, let, to_java, to_java_exact
 
 ENTITY = "struct<type:string,value:string,start:int,end:int>"
 PII = f"struct<has_pii:boolean,entities:array<{ENTITY}>,masked_text:string,original_text:string>"
@@ -15,38 +15,40 @@ _NO_ENTITIES = f"array<{ENTITY}>"
 
 # The word characters and the others a match of each type can start with.
 _FIRST = {
-    "email": ("[A-Za-z0-9_]", "[.%+-]"),
+    "email": ("[A-Za-z0-9_\u0130\u0131\u017f\u212a]", "[.%+-]"),
     "phone": (r"\d", "[+(]"),
     "ssn": (r"\d", None),
     "credit_card": (r"\d", None),
     "ip_address": (r"\d", None),
-    "badge_id": ("[EBI]", None),
-    "dob": ("[DB]", None),
-    "api_key": ("[SGA]", None),
+    "badge_id": (any_case("ebi"), None),
+    "dob": (any_case("db"), None),
+    "api_key": (any_case("sga"), None),
 }
 
-# What a match cannot do without: for numeric types the part from its first certain digit on.
-_DIGITS = {
-    "phone": r"\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}",
-    "ssn": r"\d{3}-\d{2}-\d{4}",
-    "credit_card": r"\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}",
-    "ip_address": r"\d\.\d{1,3}\.\d{1,3}\.\d",
-    "badge_id": r"(?<=[PED][-#]?)\d{4}",
-    "dob": r"\d[/-]\d{1,2}[/-]\d{2}",
+# What every match of a numeric type contains: a digit and then this.
+_AFTER_DIGIT = {
+    "phone": r"\d\d\)?[-.\s]?\d{3}[-.\s]?\d{4}",
+    "ssn": r"\d\d-\d\d-\d{4}",
+    "credit_card": r"\d{3}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}",
+    "ip_address": r"\.\d{1,3}\.\d{1,3}\.\d",
+    "badge_id": r"(?<=[PpEeDd][-#]?\d)\d{3}",
+    "dob": r"[/-]\d{1,2}[/-]\d{2}",
 }
-_KEY = r"(?=[SGA])(?:sk-|ghp_|AKIA)[A-Za-z0-9]{16}"
 
 
-def _checks(text: Column) -> tuple[Column, dict[str, Column]]:
-    """Necessary conditions without look-arounds at most positions: for any type, and by type.
+def _checks(text: Column, low: Column) -> tuple[Column, dict[str, Column]]:
+    """Necessary conditions: for any type, and by type.
 
-    The check for any type is a byte search and one regex pass.
+    The check for any type is a few byte searches and one regex pass that stops at digits only.
     """
-    by_type = {k: text.rlike(to_java(rf"(?=\d)(?:{p})")) for k, p in _DIGITS.items()}
+    by_type = {k: text.rlike(to_java_exact(rf"\d{p}")) for k, p in _AFTER_DIGIT.items()}
     by_type["email"] = text.contains("@")
-    by_type["api_key"] = text.rlike(to_java(_KEY))
-    numeric = rf"(?=\d)(?:{'|'.join(_DIGITS.values())})"
-    return by_type["email"] | text.rlike(to_java(f"{numeric}|{_KEY}")), by_type
+    by_type["api_key"] = (
+        low.contains("sk-") | low.contains("ghp_") | low.contains("akia")
+        | has_folding_letter(text)
+    )
+    numeric = text.rlike(to_java_exact(rf"\d(?:{'|'.join(_AFTER_DIGIT.values())})"))
+    return by_type["email"] | by_type["api_key"] | numeric, by_type
 
 
 def _located(part: Column) -> Column:
@@ -74,13 +76,13 @@ def _located(part: Column) -> Column:
     return F.aggregate(pieces, empty, step, lambda acc: acc["out"])
 
 
-def pii_entities(text: Column) -> Column:
+def pii_entities(text: Column, low: Column | None = None) -> Column:
     """All entities of a text, by type in scan order, then by position; null for null.
 
     Types may overlap; every type scans the original text, and only texts that hold what a match
-    of the type cannot do without.
+    of the type cannot do without. ``low`` is ``lower(text)`` where it is known.
     """
-    worth, by_type = _checks(text)
+    worth, by_type = _checks(text, F.lower(text) if low is None else low)
     parts = []
     for kind, pattern in lexicon.PII_PATTERNS.items():
         java = to_java(pattern, _FIRST[kind])
@@ -130,4 +132,5 @@ def pii_result(text: Column, entities: Column) -> Column:
 
 def pii_scan(text: Column) -> Column:
     """PII struct of a text: ``has_pii``, ``entities``, ``masked_text``, ``original_text``."""
-    return let(pii_entities(text), lambda entities: pii_result(text, entities))
+    entities = let(F.lower(text), lambda low: pii_entities(text, low))
+    return let(entities, lambda found: pii_result(text, found))

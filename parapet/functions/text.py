@@ -22,6 +22,17 @@ _FOLDING_LETTERS = ("\u0130", "\u0131", "\u017f", "\u212a")
 _FOLDED_LETTERS = "iisk"
 
 
+def any_case(letters: str) -> str:
+    """A class of these letters in every form that matches when case is ignored.
+
+    In a case-sensitive part of a pattern it is a table look-up in Java, where ignoring case
+    folds each character of the text.
+    """
+    forms = set(letters.lower() + letters.upper())
+    forms.update(x for x, ascii_form in zip(_FOLDING_LETTERS, _FOLDED_LETTERS) if ascii_form in forms)
+    return f"[{''.join(sorted(forms))}]"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and pass it to ``body``, however often body uses it."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -33,15 +44,16 @@ def to_java(pattern: str, first: tuple[str, str | None] | None = None) -> str:
     Java's ``\\b`` and ``\\s`` differ from Python's outside ASCII, so both are spelled out, and the
     look-arounds that takes are kept away from most positions of a text: a leading boundary is
     tested after the literal behind it has matched, or after a look at the next character where
-    ``first`` names the characters a match can start with, as a class of word characters and a
-    class of others or ``None``.
+    ``first`` names the characters a match can start with, as a class of word characters, in all
+    their cases, and a class of others or ``None``.
     """
-    start = ""
+    start, literal = "", ""
     if pattern.startswith(r"\b"):
         pattern = pattern[2:]
         literal = re.match(r"[A-Za-z]+(?![?*+{])|", pattern).group()
         if literal:
-            start, pattern = f"{literal}(?<!{_BEFORE}{literal})", pattern[len(literal) :]
+            pattern = pattern[len(literal) :]
+            literal += f"(?<!{_BEFORE}{literal})"
         elif first:
             word, other = first
             start = f"(?={word})(?<!{_BEFORE})"
@@ -49,6 +61,15 @@ def to_java(pattern: str, first: tuple[str, str | None] | None = None) -> str:
                 start = f"(?:{start}|(?={other})(?<={_BEFORE}))"
         else:
             start = _BOUNDARY
+    return f"(?U){start}(?i){literal}{_spell_out(pattern)}"
+
+
+def to_java_exact(pattern: str) -> str:
+    """The same for a case-sensitive pattern."""
+    return "(?U)" + _spell_out(pattern)
+
+
+def _spell_out(pattern: str) -> str:
     out, i, in_class = [], 0, False
     while i < len(pattern):
         token = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
@@ -65,7 +86,7 @@ def to_java(pattern: str, first: tuple[str, str | None] | None = None) -> str:
         else:
             out.append(token)
         i += len(token)
-    return "(?iU)" + start + "".join(out)
+    return "".join(out)
 
 
 def required_words(pattern: str) -> list[str]:
@@ -92,21 +113,26 @@ def any_of(patterns: Iterable[str]) -> str:
     for pattern in patterns:
         bare = pattern.replace(r"\b", "").replace(r"\s", f"[{_SPACE}]")
         by_letter.setdefault(bare[0].lower(), []).append(bare[1:])
-    options = [f"{letter}(?:{'|'.join(rest)})" for letter, rest in sorted(by_letter.items())]
+    options = [f"{first}(?:{'|'.join(rest)})" for first, rest in by_letter.items()]
     return f"(?iU)[^a-z](?:{'|'.join(options)})"
 
 
+def has_folding_letter(text: Column) -> Column:
+    """True where the text holds a letter outside ASCII that matches an ASCII letter."""
+    found = text.contains(_FOLDING_LETTERS[0])
+    for letter in _FOLDING_LETTERS[1:]:
+        found = found | text.contains(letter)
+    return found
+
+
 def fold_case(text: Column) -> Column:
     """Lower-case text in which letters that match an ASCII letter when case is ignored are ASCII.
 
     Only used for the literal pre-checks of ``matches``; the result may differ from
     ``lower(text)``.
     """
-    exotic = text.contains(_FOLDING_LETTERS[0])
-    for letter in _FOLDING_LETTERS[1:]:
-        exotic = exotic | text.contains(letter)
     plain = F.translate(text, "".join(_FOLDING_LETTERS), _FOLDED_LETTERS)
-    return F.lower(F.when(exotic, plain).otherwise(text))
+    return F.lower(F.when(has_folding_letter(text), plain).otherwise(text))
 
 
 def matches(text: Column, folded: Column, pattern: str) -> Column:

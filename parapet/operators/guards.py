@@ -21,7 +21,7 @@ from parapet.functions.toxicity import (
     toxicity_suspected,
 )
 
-_FINDINGS = ("_phrase", "_folded", "_counts", "_tox", "_entities", "_safe")
+_FINDINGS = ("_low", "_phrase", "_folded", "_counts", "_tox", "_entities", "_safe")
 
 
 def find(
@@ -33,17 +33,20 @@ def find(
     only looked for where no earlier check already decides.
     """
     text = F.col(text) if isinstance(text, str) else text
-    phrase = injection_match(F.lower(text), config.injection_patterns)
+    phrase = injection_match(F.col("_low"), config.injection_patterns)
     if query is not None:
         phrase = F.when(query, phrase)
     open_row = F.col("_phrase").isNull()
     return (
-        df.withColumns(
+        df.withColumn("_low", F.lower(text))
+        .withColumns(
             {"_phrase": phrase, "_folded": F.when(toxicity_suspected(text), fold_case(text))}
         )
         .withColumn("_counts", F.when(open_row, toxicity_counts(text, F.col("_folded"))))
         .withColumn("_tox", toxicity_result(F.col("_counts"), config.toxicity_threshold))
-        .withColumn("_entities", F.when(~F.col("_tox.is_toxic"), pii_entities(text)))
+        .withColumn(
+            "_entities", F.when(~F.col("_tox.is_toxic"), pii_entities(text, F.col("_low")))
+        )
         .withColumn("_safe", mask_entities(text, F.col("_entities")))
     )
 
@@ -62,9 +65,10 @@ def guard_of_findings(text: Column, ground: Column) -> Column:
 def with_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """Add the PII struct of a text column."""
     return (
-        df.withColumn("_entities", pii_entities(F.col(text)))
+        df.withColumn("_low", F.lower(F.col(text)))
+        .withColumn("_entities", pii_entities(F.col(text), F.col("_low")))
         .withColumn(out, pii_result(F.col(text), F.col("_entities")))
-        .drop("_entities")
+        .drop("_low", "_entities")
     )
 
 
