@@ -29,7 +29,8 @@ def any_case(letters: str) -> str:
     folds each character of the text.
     """
     forms = set(letters.lower() + letters.upper())
-    forms.update(x for x, ascii_form in zip(_FOLDING_LETTERS, _FOLDED_LETTERS) if ascii_form in forms)
+    folds = zip(_FOLDING_LETTERS, _FOLDED_LETTERS)
+    forms.update(x for x, ascii_form in folds if ascii_form in forms)
     return f"[{''.join(sorted(forms))}]"
 
 
