@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -33,7 +32,7 @@ from parapet.operators.sequences import (
     shape_sequences,
     vocabulary,
 )
-from parapet.session import shared_folder, spread
+from parapet.session import shared_folder
 from parapet.sources.messages import clean_messages
 from parapet.sources.samples import dataset_size, read_samples, write_samples
 from parapet.streaming.messages import guard_stream, read_message_stream, write_guarded
@@ -44,16 +43,12 @@ SEQUENCE_LENGTH = 256
 
 
 # --- tables ----------------------------------------------------------------------------
-_KEYS = {"documents": DOC, "conversations": TURN}
-
-
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def _texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table of texts, spread over all cores before the work on each text."""
-    return spread(_table(spark, sf, name).select(*columns), *_KEYS[name])
+    return _table(spark, sf, name).select(*columns)
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,10 +137,8 @@ def _steps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh shared folder; a local one only where the session names none (tests)."""
-    unset = spark.conf.get("spark.checkpoint.dir", None) is None
-    default = tempfile.mkdtemp(prefix="parapet-") if unset else None
-    return shared_folder(spark, f"{name}-{uuid.uuid4().hex}", default)
+    """A fresh shared folder."""
+    return shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 # --- flat views of result structs --------------------------------------------------------
@@ -259,7 +252,7 @@ def guarded_stream(spark: SparkSession, sf: str) -> DataFrame:
     salted = stream.withColumn("text", probed(F.col("text"), key))
     out = _scratch(spark, "guarded-messages")
     query = write_guarded(
-        guard_stream(salted), f"{out}/rows", f"guarded_{uuid.uuid4().hex}", out, available_now=True
+        guard_stream(salted), f"{out}/rows", f"guarded_{uuid.uuid4().hex}", available_now=True
     )
     query.awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(

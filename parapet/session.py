@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,23 +28,10 @@ def build_session(
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """``df`` over all cores where its scan has too few splits, else ``df`` itself.
-
-    A table of many splits, as any large one is, is not shuffled. Placing rows by ``key`` keeps
-    a retried task's rows the same.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
-
-
-def shared_folder(spark: SparkSession, name: str, default: str | None = None) -> str:
+def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    ``default`` serves sessions without that setting (tests); without either, the caller
-    has to configure one, because a machine-local folder would not survive a lost executor.
+    Where that is unset, the warehouse folder serves, which a cluster keeps on shared storage.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or default
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return posixpath.join(root, name)

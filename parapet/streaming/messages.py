@@ -48,16 +48,14 @@ def write_guarded(
     guarded: DataFrame,
     path: str,
     name: str,
-    checkpoint_default: str | None = None,
     file_format: str = "parquet",
     available_now: bool = False,
 ) -> StreamingQuery:
     """Append guarded messages to a folder, exactly once.
 
-    The checkpoint lies under ``spark.checkpoint.dir``; ``checkpoint_default`` only serves
-    sessions that do not set it.
+    The checkpoint lies in the shared folder (``parapet.session.shared_folder``).
     """
-    checkpoint = shared_folder(guarded.sparkSession, f"stream-{name}", checkpoint_default)
+    checkpoint = shared_folder(guarded.sparkSession, f"stream-{name}")
     writer = (
         guarded.writeStream.format(file_format)
         .queryName(name)

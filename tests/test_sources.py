@@ -13,7 +13,7 @@ from parapet.operators.epochs import epoch_plan
 from parapet.operators.guards import guard_messages
 from parapet.operators.metrics import run_metrics
 from parapet.plans.corpus import documents_to_pairs, prepare_corpus, training_sequences
-from parapet.session import shared_folder, spread
+from parapet.session import shared_folder
 from parapet.sources.documents import read_documents
 from parapet.sources.messages import clean_messages
 from parapet.sources.samples import (
@@ -214,19 +214,12 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_shared_folder(spark):
     class Bare:
         class conf:
-            get = staticmethod(lambda key, default: default)
+            get = None
 
     root = spark.conf.get("spark.checkpoint.dir")
-    assert shared_folder(spark, "x", "/elsewhere") == f"{root}/x"
-    assert shared_folder(Bare, "x", "/elsewhere") == "/elsewhere/x"
-    with pytest.raises(ValueError):
-        shared_folder(Bare, "x")
-
-
-def test_spread_leaves_enough_splits_alone(spark):
-    few, many = spark.range(100, numPartitions=1), spark.range(100, numPartitions=16)
-    assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(many, "id") is many
+    assert shared_folder(spark, "x") == f"{root}/x"
+    Bare.conf.get = staticmethod(lambda key, *_: {"spark.sql.warehouse.dir": "/w"}.get(key))
+    assert shared_folder(Bare, "x") == "/w/x"
 
 
 def test_plain_rules_match_their_own_cases():
