@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parapet.llm import sql
 from parapet.llm.common import table
+from parapet.llm.decontaminate import contamination
 from parapet.llm.minhash import near_duplicates
 
 
@@ -12,7 +14,14 @@ def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES = {
     "op2_minhash_dedup": minhash_dedup,
+    "op8_benchmark_decontamination": benchmark_decontamination,
+}
+LLM_ORACLE = {
+    "op8_benchmark_decontamination": sql.DECONTAMINATION,
 }
-LLM_ORACLE: dict[str, str] = {}
