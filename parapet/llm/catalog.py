@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parapet.llm import sql
 from parapet.llm.common import table
 from parapet.llm.decontaminate import contamination
+from parapet.llm.language import identify_languages
 from parapet.llm.minhash import near_duplicates
 
 
@@ -14,12 +15,17 @@ def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 LLM_QUERIES = {
     "op2_minhash_dedup": minhash_dedup,
+    "op3_language_id": language_id,
     "op8_benchmark_decontamination": benchmark_decontamination,
 }
 LLM_ORACLE = {
