@@ -9,6 +9,7 @@ from parapet.llm.common import table
 from parapet.llm.decontaminate import contamination
 from parapet.llm.language import identify_languages
 from parapet.llm.minhash import near_duplicates
+from parapet.llm.vectors import near_vectors
 
 
 def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,10 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,6 +31,7 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op2_minhash_dedup": minhash_dedup,
     "op3_language_id": language_id,
+    "op4_embedding_dedup": embedding_dedup,
     "op8_benchmark_decontamination": benchmark_decontamination,
 }
 LLM_ORACLE = {
