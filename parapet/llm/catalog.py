@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parapet.llm import sql
 from parapet.llm.common import table
 from parapet.llm.decontaminate import contamination
+from parapet.llm.html_main import extract_pages
 from parapet.llm.language import identify_languages
 from parapet.llm.minhash import near_duplicates
 from parapet.llm.vectors import near_vectors
@@ -24,6 +25,10 @@ def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,6 +37,7 @@ LLM_QUERIES = {
     "op2_minhash_dedup": minhash_dedup,
     "op3_language_id": language_id,
     "op4_embedding_dedup": embedding_dedup,
+    "op6_html_extraction": html_extraction,
     "op8_benchmark_decontamination": benchmark_decontamination,
 }
 LLM_ORACLE = {
