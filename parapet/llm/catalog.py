@@ -9,6 +9,7 @@ from parapet.llm.common import table
 from parapet.llm.decontaminate import contamination
 from parapet.llm.html_main import extract_pages
 from parapet.llm.language import identify_languages
+from parapet.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses, template_bigrams
 from parapet.llm.minhash import near_duplicates
 from parapet.llm.vectors import near_vectors
 
@@ -29,6 +30,10 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,8 +43,12 @@ LLM_QUERIES = {
     "op3_language_id": language_id,
     "op4_embedding_dedup": embedding_dedup,
     "op6_html_extraction": html_extraction,
+    "op7_license_scan": license_scan,
     "op8_benchmark_decontamination": benchmark_decontamination,
 }
 LLM_ORACLE = {
+    "op7_license_scan": sql.license_scan(
+        [(name, template_bigrams(text)) for name, text in TEMPLATES], THRESHOLD
+    ),
     "op8_benchmark_decontamination": sql.DECONTAMINATION,
 }

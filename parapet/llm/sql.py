@@ -35,3 +35,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (k) LEFT JOIN named USING (k)
 """
+
+
+def license_scan(templates: list[tuple[str, list[str]]], threshold: float) -> str:
+    """SQL of the licence scan for (name, bigrams) templates."""
+    rows = ", ".join(
+        "('{}', ['{}'])".format(name, "', '".join(grams)) for name, grams in templates
+    )
+    return f"""
+WITH t(name, g) AS (VALUES {rows}), d AS (
+  SELECT row_number() OVER () AS k, doc_id, text FROM documents
+), u AS (
+  SELECT DISTINCT k, unnest(list_concat(string_split(text, chr(10)),
+         regexp_split_to_array(text, '\\n\\s*\\n'), [text])) AS u FROM d WHERE text IS NOT NULL
+), w AS (
+  SELECT k, u, list_filter(regexp_split_to_array(lower(u), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
+  FROM u
+), g AS (
+  SELECT k, u, list_distinct(list_transform(generate_series(1, len(w) - 1),
+         lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1
+), m AS (
+  SELECT k, u, name, 2.0::DOUBLE * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice
+  FROM g JOIN t ON 2 * least(len(g.g), len(t.g)) >= {threshold} * (len(g.g) + len(t.g))
+), best AS (
+  SELECT k, u, min(struct_pack(less := -dice, name := name)) AS b
+  FROM m WHERE dice >= {threshold} GROUP BY k, u
+), per AS (
+  SELECT k, count(*) AS n_matches, string_agg(DISTINCT b.name, ',' ORDER BY b.name) AS licenses,
+         min(b).name AS best_license, -min(b).less AS best_dice FROM best GROUP BY k
+)
+SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses,
+       best_license, best_dice
+FROM d LEFT JOIN per USING (k)
+"""
