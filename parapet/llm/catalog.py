@@ -11,6 +11,7 @@ from parapet.llm.html_main import extract_pages
 from parapet.llm.language import identify_languages
 from parapet.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses, template_bigrams
 from parapet.llm.minhash import near_duplicates
+from parapet.llm.preferences import preference_rows
 from parapet.llm.vectors import near_vectors
 
 
@@ -38,6 +39,10 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_rows(table(spark, sf_dir, "conversations"))
+
+
 LLM_QUERIES = {
     "op2_minhash_dedup": minhash_dedup,
     "op3_language_id": language_id,
@@ -45,10 +50,12 @@ LLM_QUERIES = {
     "op6_html_extraction": html_extraction,
     "op7_license_scan": license_scan,
     "op8_benchmark_decontamination": benchmark_decontamination,
+    "op10_chat_preferences": chat_preferences,
 }
 LLM_ORACLE = {
     "op7_license_scan": sql.license_scan(
         [(name, template_bigrams(text)) for name, text in TEMPLATES], THRESHOLD
     ),
     "op8_benchmark_decontamination": sql.DECONTAMINATION,
+    "op10_chat_preferences": sql.PREFERENCES,
 }

@@ -68,3 +68,45 @@ SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS li
        best_license, best_dice
 FROM d LEFT JOIN per USING (k)
 """
+
+
+def _rendered(turns: str) -> str:
+    return (
+        f"array_to_string(list_transform({turns}, lambda t: '<|' || coalesce(t.role, 'unknown') || "
+        "'|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)), '')"
+    )
+
+
+def _mask(turns: str) -> str:
+    return (
+        f"array_to_string(list_transform({turns}, lambda t: "
+        "(5 + length(coalesce(t.role, 'unknown'))) || ':0,' || (8 + length(coalesce(t.text, ''))) "
+        "|| CASE WHEN t.role = 'assistant' THEN ':1' ELSE ':0' END), ',')"
+    )
+
+
+PREFERENCES = f"""
+WITH c AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS turns
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) WHERE conv_id IS NOT NULL
+  GROUP BY conv_id
+), pairs AS (
+  SELECT 'sibling' AS kind, a.conv_id AS chosen_id, b.conv_id AS rejected_id,
+         a.turns AS a, b.turns AS b
+  FROM c b JOIN (SELECT turns[1] AS first, min(conv_id) AS head FROM c GROUP BY 1) h
+    ON b.turns[1] = h.first AND b.conv_id <> h.head JOIN c a ON a.conv_id = h.head
+  UNION ALL
+  SELECT 'echo', conv_id, conv_id, turns[:p], list_append(turns[:p - 1], {{'role': 'assistant',
+         'text': CASE WHEN p > 1 THEN coalesce(turns[p - 1].text, '') ELSE '' END}})
+  FROM (SELECT *, list_max(list_transform(turns, lambda t, i: CASE WHEN t.role = 'assistant' THEN i END)) AS p FROM c)
+  WHERE p IS NOT NULL
+), cut AS (
+  SELECT *, coalesce(list_min(list_transform(generate_series(1, greatest(len(a), len(b))),
+         lambda i: CASE WHEN a[i] IS DISTINCT FROM b[i] THEN i END)) - 1, len(a)) AS n FROM pairs
+)
+SELECT kind, chosen_id, rejected_id, CAST(n AS BIGINT) AS n_prompt_turns,
+       {_rendered("a[:n]")} AS prompt,
+       {_rendered("a[n + 1:]")} AS chosen, {_mask("a[n + 1:]")} AS chosen_mask,
+       {_rendered("b[n + 1:]")} AS rejected, {_mask("b[n + 1:]")} AS rejected_mask
+FROM cut
+"""
