@@ -5,14 +5,20 @@
    has a hash function of its own, not a share of one function's range, so short texts fill all
    buckets and their bands tell as much as those of long ones.
 2. Texts with the same set (128-bit digest) are one class; only its smallest id goes on.
-3. Classes that agree in all registers of a band share a bucket. Each is compared with the smallest
-   of the bucket (a star), never all with all. Pairs are kept if the Jaccard similarity estimated
+3. Classes that agree in all registers of a band share a bucket. Each is compared with the hub of the
+   bucket (a star), never all with all; hub is the one that meets most others over all bands, as the
+   source of many copies does. Pairs are kept if the Jaccard similarity estimated
    from their registers, corrected for register collisions, is not clearly below the threshold; the
    sets of the kept pairs are then compared in full.
-4. Links become components. Buckets that still hold more than one component are compared once more
-   between their components, so a link that no star saw is not lost.
-
-At similarity 0.8 a pair shares none of 40 bands of 6 registers with probability 5e-6.
+4. Links become components. Texts in buckets that still hold more than one component, as those of
+   one frequent passage do, are banded once more by longer, overlapping draws of registers, which
+   such texts do not share, and compared by stars again.
+5. Texts that then still stand in one bucket but not in one component are gathered into clusters and
+   compared across components in blocks of ``BLOCK`` texts; only links leave the task. So no star
+   hides a link.
+
+At similarity 0.8 a pair shares none of 40 bands of 6 registers with probability 5e-6, and none of
+the 64 draws of 10 with probability 7e-4.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +35,8 @@ from parapet.llm.common import components, keep
 from parapet.llm.hashing import mix, shingle_set
 
 BANDS, ROWS, MANTISSA = 40, 6, 10
+DRAWS, DRAWN = 64, 10
+BLOCK = 256
 #: Fixed value: expected share of colliding registers, times 2^mantissa, for sets of equal size.
 COLLISION = 0.169919487159739093975315012348
 SKETCH = "id long, n_shingles long, set_a long, set_b long, registers binary"
@@ -67,17 +76,19 @@ def _sketches(width: int, buckets: int):
     return run
 
 
-def _bands(bands: int, rows: int):
+def _bands(picks: np.ndarray):
+    """Rows (key, id, n) for each band, a row of ``picks``: which registers it holds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = np.arange(bands, dtype=np.uint64)
+        bands = len(picks)
         for batch in batches:
             if not batch.num_rows:
                 continue
             values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16)
-            values = values.reshape(batch.num_rows, bands, rows).astype(np.uint64)
-            keys = np.broadcast_to(mix(number), (batch.num_rows, bands)).copy()
-            for i in range(rows):
-                keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, :, i])
+            values = values.reshape(batch.num_rows, -1).astype(np.uint64)
+            keys = np.tile(mix(np.arange(bands, dtype=np.uint64)), (batch.num_rows, 1))
+            for pick in picks.T:
+                keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, pick])
             ids, sizes = (np.repeat(batch.column(i).to_numpy(), bands) for i in (0, 1))
             arrays = [pa.array(keys.ravel().view(np.int64)), pa.array(ids), pa.array(sizes)]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "id", "n"])
@@ -85,6 +96,92 @@ def _bands(bands: int, rows: int):
     return run
 
 
+def _crowds(sketches: DataFrame, picks: np.ndarray) -> DataFrame:
+    """(key, id, n, hub, hn): members of buckets with two ids or more.
+
+    Bucket sizes are counted before any join, so a crowded bucket is folded in the map side.
+    """
+    banded = sketches.select("id", "n_shingles", "registers").mapInArrow(
+        _bands(picks), "key long, id long, n long"
+    )
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowd = keep(banded.join(sizes, "key"), "crowd")
+    score = crowd.groupBy("id").agg(F.sum("size").alias("score"))
+    ranked = crowd.join(score, "id").withColumn("rank", F.struct("score", -F.col("id"), "n"))
+    hubs = ranked.groupBy("key").agg(F.max("rank").alias("h"))
+    hubs = hubs.select("key", (-F.col("h.col2")).alias("hub"), F.col("h.n").alias("hn"))
+    return crowd.join(hubs, "key").select("key", "hub", "hn", "id", "n")
+
+
+def _stars(crowd: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each member and its hub whose sizes let them reach the threshold."""
+    fit = F.expr(f"id <> hub and 100 * least(n, hn) >= {percent} * greatest(n, hn)")
+    return crowd.where(fit).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
+
+
+def _mixed(crowd: DataFrame, same: DataFrame) -> DataFrame:
+    """Rows of ``crowd`` with their component ``c``, of buckets of several components.
+
+    Buckets of two have been compared in full by their star.
+    """
+    placed = crowd.join(same.select(F.col("node").alias("id"), "component"), "id", "left")
+    placed = placed.withColumn("c", F.coalesce("component", "id")).drop("component")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"),
+                                      F.count(F.lit(1)).alias("rows"))
+    mixed = mixed.where("c0 < c1 and rows > 2").select("key")
+    return keep(placed.join(mixed, "key", "left_semi"), "mixed")
+
+
+def _across(width: int, percent: int):
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["block", "id"], ignore_index=True)
+        comp, n, ids = (frame[c].to_numpy() for c in ("c", "n", "id"))
+        registers_of = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(len(frame), -1)
+        floor, sets, out = _floor(percent, registers_of.shape[1]), {}, []
+        first = np.flatnonzero(frame["block"].to_numpy() == key[1])
+        start = 0 if key[1] == key[2] else len(first)  # the other block's rows follow
+        for i in first:
+            later = np.arange(max(start, i + 1), len(frame))
+            fit = 100 * np.minimum(n[i], n[later]) >= percent * np.maximum(n[i], n[later])
+            later = later[fit & (comp[i] != comp[later])]
+            alike = (registers_of[later] == registers_of[i]).mean(axis=1)
+            for j in later[alike >= floor]:  # chance agreement only adds to ``alike``
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = shingle_set(frame["text"].iloc[k], width)
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _rest(mixed: DataFrame, side: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components of one cluster of ``mixed`` buckets."""
+    cluster = components(mixed.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    rows = mixed.select("id", "c", "n").distinct().join(
+        cluster.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"
+    )
+    blocks = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    rows = rows.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    rows = rows.join(side.select("id", "registers"), "id").join(texts, "id")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    tasks = rows.select("*", other).withColumns(
+        {"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}
+    )
+    found = tasks.select("cluster", "lo", "hi", "id", "c", "n", "block", "registers", "text")
+    return found.groupBy("cluster", "lo", "hi").applyInPandas(
+        _across(width, percent), "a long, b long"
+    )
+
+
+def _floor(percent: int, buckets: int) -> float:
+    """An estimate below this is no sign of a pair at the threshold: 4.5 standard errors."""
+    t = percent / 100
+    return t - 4.5 * (t * (1 - t) / buckets) ** 0.5
+
+
 def estimate(a: bytes, b: bytes, n: int, m: int) -> float:
     """Jaccard similarity from two register lists, less the share that agrees by chance."""
     x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
@@ -97,8 +194,7 @@ def _likely(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, m = (batch.column(i).to_pylist() for i in range(2, 6))
-            t = percent / 100
-            floor = t - 4.5 * (t * (1 - t) / (len(a[0]) // 2)) ** 0.5 if a else 0
+            floor = _floor(percent, len(a[0]) // 2) if a else 0
             hit = [estimate(*x) >= floor for x in zip(a, b, n, m)]
             yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
 
@@ -168,33 +264,19 @@ def near_duplicates(
     first = known.join(classes.select(F.col("first").alias("id"), "set_a", "set_b"),
                        ["id", "set_a", "set_b"], "left_semi")
     first = first.select("id", "n_shingles", "registers").dropDuplicates(["id"])
-    banded = first.select("id", "n_shingles", "registers").mapInArrow(
-        _bands(bands, rows), "key long, id long, n long"
-    )
-    # A bucket's smallest id is found before any join, so a crowded bucket is folded in the map side.
-    hubs = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("h"), F.max("id").alias("top"))
-    hubs = hubs.where("h.id < top").select("key", "h.id", "h.n").toDF("key", "hub", "hn")
-    crowd = keep(banded.join(hubs, "key").select("key", "hub", "hn", "id", "n"), "crowd")
-    fit = F.expr(f"100 * least(n, hn) >= {percent} * greatest(n, hn)")
-    stars = crowd.where("id <> hub").where(fit)
-    stars = stars.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    crowd = keep(_crowds(first, np.arange(bands * rows).reshape(bands, rows)), "starred")
     wanted = crowd.select("id").distinct()
     side = keep(first.join(wanted, "id", "left_semi"), "side")
     texts = keep(rows_in.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    links = _links(stars, side, texts, width, percent)
-
-    same = components(links)
-    placed = crowd.join(same.select(F.col("node").alias("id"), "component"), "id", "left")
-    placed = placed.select("key", "id", "n", "hub", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"),
-                                      F.count(F.lit(1)).alias("rows")).where("c0 < c1 and rows > 2")
-    rest = keep(placed.where("id <> hub").join(mixed.select("key"), "key", "left_semi"), "rest")
-    other = rest.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "c")))
-    across = rest.join(other, "key").where(
-        f"c <> c2 and id < id2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    )
-    across = across.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    more = _links(across, side, texts, width, percent)
+    links = _links(_stars(crowd, percent).distinct(), side, texts, width, percent)
+
+    mixed = _mixed(crowd, components(links)).select("id").distinct()
+    rng = np.random.default_rng(11)
+    draws = np.stack([rng.choice(bands * rows, DRAWN, replace=False) for _ in range(DRAWS)])
+    crowd = keep(_crowds(side.join(mixed, "id", "left_semi"), draws), "starred-again")
+    stars = _stars(crowd, percent).distinct().join(links, ["a", "b"], "left_anti")
+    links = keep(links.union(_links(stars, side, texts, width, percent)), "links")
+    more = keep(_rest(_mixed(crowd, components(links)), side, texts, width, percent), "rest")
     same = components(
         links.union(more).union(member.select(F.col("id").alias("a"), F.col("first").alias("b")))
     )
