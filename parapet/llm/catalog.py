@@ -11,7 +11,9 @@ from parapet.llm.html_main import extract_pages
 from parapet.llm.language import identify_languages
 from parapet.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses, template_bigrams
 from parapet.llm.minhash import near_duplicates
+from parapet.llm.packing import pack_documents
 from parapet.llm.preferences import preference_rows
+from parapet.llm.toxicity_chain import score_toxicity
 from parapet.llm.vectors import near_vectors
 
 
@@ -39,6 +41,14 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_rows(table(spark, sf_dir, "conversations"))
 
@@ -47,9 +57,11 @@ LLM_QUERIES = {
     "op2_minhash_dedup": minhash_dedup,
     "op3_language_id": language_id,
     "op4_embedding_dedup": embedding_dedup,
+    "op5_toxicity": toxicity,
     "op6_html_extraction": html_extraction,
     "op7_license_scan": license_scan,
     "op8_benchmark_decontamination": benchmark_decontamination,
+    "op9_best_fit_packing": best_fit_packing,
     "op10_chat_preferences": chat_preferences,
 }
 LLM_ORACLE = {
