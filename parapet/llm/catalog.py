@@ -10,6 +10,7 @@ from parapet.llm.decontaminate import contamination
 from parapet.llm.html_main import extract_pages
 from parapet.llm.language import identify_languages
 from parapet.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses, template_bigrams
+from parapet.llm.line_dedup import line_report
 from parapet.llm.minhash import near_duplicates
 from parapet.llm.packing import pack_documents
 from parapet.llm.preferences import preference_rows
@@ -17,6 +18,10 @@ from parapet.llm.toxicity_chain import score_toxicity
 from parapet.llm.vectors import near_vectors
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"), percent=80)
+
+
 def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -54,6 +59,7 @@ def chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_line_dedup": line_dedup,
     "op2_minhash_dedup": minhash_dedup,
     "op3_language_id": language_id,
     "op4_embedding_dedup": embedding_dedup,
