@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parapet.llm.boosting import Trees, fit_trees
+from parapet.llm.common import slices
 from parapet.llm.dom import HINT_NO, KIND_NO, Page, read_page
 
 TRAINING_PAGES = 1500
@@ -218,10 +219,8 @@ def main_texts(sources: list[str | None], model: Trees) -> list[str]:
 
 def _extracted(model: Trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for i in range(0, batch.num_rows, 200):
-                texts += main_texts(batch.column(2).slice(i, 200).to_pylist(), model)
+        for batch in slices(batches):
+            texts = main_texts(batch.column(2).to_pylist(), model)
             sizes = pa.array([len(t) for t in texts], pa.int64())
             arrays = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes]
             yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parapet.llm.common import slices
 from parapet.llm.hashing import mix
 
 UNKNOWN = "und"
@@ -37,11 +38,11 @@ FAMILIES = {
 }
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-_SLOT = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(1 << 32)).astype(np.int64)
+_SLOT = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(1 << 32)).astype(np.uint32)
 #: Bytes of a text once in lower case; digits, punctuation and white space all count as a blank.
 _CODE = np.where(
     np.isin(np.arange(256), [*range(97, 123), *range(128, 256)]), np.arange(256), 32
-).astype(np.int64)
+).astype(np.uint16)
 
 
 def family_of(lang: str) -> str:
@@ -58,7 +59,7 @@ def features(text: str) -> np.ndarray:
     data = data[np.flatnonzero((data != 32) | (np.roll(data, 1) != 32))]  # runs of blanks are one
     if len(data) < 3:
         return np.zeros(DIMENSIONS, np.float32)
-    slot = _SLOT[data[:-2] * 256 + data[1:-1]] * 31 + _SLOT[data[2:]]
+    slot = _SLOT[data[:-2] << 8 | data[1:-1]] * np.uint32(31) + _SLOT[data[2:]]
     counts = np.sqrt(np.bincount(slot % DIMENSIONS, minlength=DIMENSIONS))
     return (counts / np.linalg.norm(counts)).astype(np.float32)
 
@@ -131,7 +132,7 @@ def _signs(values: np.ndarray, names: list[str]) -> np.ndarray:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         langs, texts = batch.column(0), batch.column(1).to_pylist()
         rows = [features(t).tobytes() for t in texts]
         yield pa.RecordBatch.from_arrays([langs, pa.array(rows, pa.binary())], ["lang", "x"])
@@ -177,14 +178,13 @@ def train_language_model(
 
 def _scored(model: LanguageModel | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
-            for part in (known[i : i + 256] for i in range(0, len(known), 256)):
-                found, score = model.predict(np.stack([features(texts[i]) for i in part]))
-                scores[part] = score
-                for i, lang in zip(part, found):
+            if known:
+                found, scores[known] = model.predict(np.stack([features(texts[i]) for i in known]))
+                for i, lang in zip(known, found):
                     langs[i] = lang
             arrays = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang_pred", "score"])
@@ -222,7 +222,7 @@ def keep_identified(docs: DataFrame, languages: list[str] | None = None, rows: i
     model = train_language_model(docs.where(~held_out()), rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.select(["doc_id", "text"])
             langs = next(_scored(model)(iter([texts]))).column(1).to_pylist()
             good = [x != UNKNOWN and (languages is None or x in languages) for x in langs]

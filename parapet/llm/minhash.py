@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm.common import components, keep
+from parapet.llm.common import components, keep, slices
 from parapet.llm.hashing import mix, shingle_set
 
 BANDS, ROWS, MANTISSA = 40, 6, 10
@@ -58,7 +58,7 @@ def registers(shingles: np.ndarray, buckets: int) -> np.ndarray:
 
 def _sketches(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = {"n": [], "a": [], "b": [], "r": []}
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, width)
@@ -204,7 +204,7 @@ def _likely(percent: int):
 def _confirmed(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
-        for batch in batches:
+        for batch in slices(batches):
             hit = []
             for a, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 if last[0] != a:  # one star's rows stand together

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parapet.llm.common import slices
 from parapet.llm.hashing import lower_table, prefix_sums, span_hashes, spans
 
 #: Words that mark a toxic text as of a category, in the order of the chain.
@@ -140,7 +141,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = text_features(text)[0].view(np.int64)
             arrays = [pa.array(found), pa.array(np.full(len(found), toxic, np.int32))]
@@ -163,7 +164,7 @@ def _vectors(features: np.ndarray):
     shell = ChainModel(features, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, toxic = (batch.column(i).to_pylist() for i in range(3))
             rows, kinds = [], []
             for i, text in enumerate(texts):
@@ -200,12 +201,12 @@ def train_chain(
 
 def _scored(model: ChainModel | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             p = np.zeros((len(texts), len(LINKS)))
             at = [i for i, text in enumerate(texts) if text and model is not None]
-            for part in (at[i : i + 512] for i in range(0, len(at), 512)):
-                p[part] = model.probabilities(model.rows([texts[i] for i in part]))
+            if at:
+                p[at] = model.probabilities(model.rows([texts[i] for i in at]))
             arrays = [batch.column(0), *(pa.array(c) for c in p.T)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *LINKS])
 
