@@ -2,9 +2,85 @@
 
 from __future__ import annotations
 
-from parapet import lexicon
 from parapet.catalog.probes import probed_sql
 
+# --- fixed values: stated here again, so that a wrong one in the engine shows --------------------
+PII_PATTERNS = {
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    "phone": r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",
+    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+    "credit_card": r"\b(?:\d{4}[-\s]?){3}\d{4}\b",
+    "ip_address": (
+        r"\b(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
+        r"\.(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
+    ),
+    "badge_id": r"\b(?:EMP|BADGE|ID)[-#]?\d{4,8}\b",
+    "dob": r"\b(?:DOB|born|birthday)[:\s]*\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b",
+    "api_key": r"\b(?:sk-|ghp_|AKIA)[A-Za-z0-9]{16,}\b",
+}
+TOXICITY_PATTERNS = {
+    "threat": [
+        r"\bi['']?ll\s+kill\b",
+        r"\bthreat\b",
+        r"\bhurt\s+you\b",
+        r"\bbomb\b",
+        r"\bshoot\b",
+        r"\bweapon\b",
+    ],
+    "harassment": [
+        r"\bstupid\b",
+        r"\bidiot\b",
+        r"\bdumb\b",
+        r"\bushless\b",
+        r"\bincompetent\b",
+    ],
+    "self_harm": [
+        r"\bkill\s+myself\b",
+        r"\bsuicid\b",
+        r"\bself[- ]harm\b",
+        r"\bdon['']?t\s+want\s+to\s+live\b",
+    ],
+    "manipulation": [
+        r"\bignore\s+(all\s+)?previous\b",
+        r"\byou\s+are\s+now\b",
+        r"\bpretend\s+(to\s+be|you\s+are)\b",
+        r"\bbypass\b",
+        r"\bjailbreak\b",
+        r"\bDAN\b",
+        r"\bsystem\s+prompt\b",
+    ],
+}
+ALWAYS_TOXIC = ("threat", "self_harm", "manipulation")
+INJECTION_PHRASES = (
+    "ignore previous instructions",
+    "ignore all previous",
+    "you are now",
+    "bypass safety",
+    "pretend you are",
+    "reveal your system prompt",
+    "act as if you have no restrictions",
+    "jailbreak",
+    "DAN mode",
+)
+FACTUAL_WORDS = (
+    "is are was were has have requires takes costs includes provides supports runs uses".split()
+)
+STOP_WORDS = (
+    "the a an is are was were it to for and or in on at of by with that this".split()
+)
+STOP_WORDS = (
+    "the a an is are was were it to for and or in on at of by with that this".split()
+)
+UNSAFE_OUTPUT_REASON = "Response contained unsafe content and was blocked."
+MASKED_DETAILS = "Masked: "
+SCRUBBED_DETAILS = "Removed: "
+UNVERIFIED_NOTE = (
+    "\n\n⚠️ Note: Some claims could not be verified against source documents."
+)
+UNVERIFIED_NOTE = (
+    "\n\n⚠️ Note: Some claims could not be verified against source documents."
+)
+
 
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -58,11 +134,11 @@ def _all(pattern: str, t: str) -> str:
 def pii_columns(t: str, p: str = "") -> str:
     """Entity types (with repeats) and the steps of the mask fold."""
     types = ", ".join(
-        f"list_transform({_all(x, t)}, lambda v: {_q(k)})" for k, x in lexicon.PII_PATTERNS.items()
+        f"list_transform({_all(x, t)}, lambda v: {_q(k)})" for k, x in PII_PATTERNS.items()
     )
     steps = ", ".join(
         f"list_transform({_all(x, t)}, lambda v: v || chr(1) || {_q('[' + k.upper() + ']')})"
-        for k, x in lexicon.PII_PATTERNS.items()
+        for k, x in PII_PATTERNS.items()
     )
     return f"flatten([{types}]) AS {p}types, flatten([{steps}]) AS {p}steps"
 
@@ -77,7 +153,7 @@ def masked(t: str, steps: str) -> str:
 
 def _located() -> str:
     parts = []
-    for no, (kind, pattern) in enumerate(lexicon.PII_PATTERNS.items()):
+    for no, (kind, pattern) in enumerate(PII_PATTERNS.items()):
         parts.append(f"""SELECT doc_id, {no} AS kind_no, {_q(kind)} AS type, text,
           {_all(pattern, 'text')} AS vals,
           string_split_regex(text, {_q('(?i)' + pattern)}) AS gaps FROM docs""")
@@ -113,11 +189,11 @@ def tox_columns(t: str, p: str = "") -> str:
         "("
         + " + ".join(f"regexp_matches({t}, {_q(x)}, 'i')::int" for x in patterns)
         + f")::bigint AS {p}{c}"
-        for c, patterns in lexicon.TOXICITY_PATTERNS.items()
+        for c, patterns in TOXICITY_PATTERNS.items()
     )
 
 
-CATEGORIES = list(lexicon.TOXICITY_PATTERNS)
+CATEGORIES = list(TOXICITY_PATTERNS)
 
 
 def tox_total(p: str = "") -> str:
@@ -125,7 +201,7 @@ def tox_total(p: str = "") -> str:
 
 
 def is_toxic(p: str = "") -> str:
-    always = " OR ".join(f"{p}{c} > 0" for c in lexicon.ALWAYS_TOXIC)
+    always = " OR ".join(f"{p}{c} > 0" for c in ALWAYS_TOXIC)
     return f"(least({tox_total(p)} / 5.0::double, 1.0::double) >= 0.5 OR {always})"
 
 
@@ -146,7 +222,7 @@ TOXICITY_FLAGS = f"""WITH {CONV}, s AS (SELECT conv_id, turn, {tox_columns('text
 """ + " UNION ALL ".join(
     f"SELECT conv_id, turn, {_q(c)} AS category, "
     f"least({c} / {len(p)}.0::double, 1.0::double) AS score, {c} AS matches FROM s WHERE {c} > 0"
-    for c, p in lexicon.TOXICITY_PATTERNS.items()
+    for c, p in TOXICITY_PATTERNS.items()
 )
 
 TOXICITY_BY_CATEGORY = f"""WITH {DOCS}, s AS (SELECT doc_id, {tox_columns('text')} FROM docs)
@@ -157,12 +233,12 @@ TOXICITY_BY_CATEGORY = f"""WITH {DOCS}, s AS (SELECT doc_id, {tox_columns('text'
 )
 
 
-def injection(t: str) -> str:
+def injection(t: str, phrases: tuple[str, ...] = INJECTION_PHRASES) -> str:
     return (
         "CASE "
         + " ".join(
             f"WHEN contains(lower({t}), {_q(p.lower())}) THEN {_q(p)}"
-            for p in lexicon.INJECTION_PHRASES
+            for p in phrases
         )
         + " END"
     )
@@ -175,7 +251,7 @@ INJECTION = f"WITH {CONV} SELECT conv_id, turn, {injection('text')} AS phrase FR
 def claims(t: str) -> str:
     cut = f"string_split(replace({t}, {NL}, '. '), '. ')"
     stripped = f"list_transform({cut}, lambda s: trim(s, {BLANKS}))"
-    factual = _list(lexicon.FACTUAL_WORDS)
+    factual = _list(FACTUAL_WORDS)
     return (
         f"list_filter({stripped}, lambda s: length(s) > 10 AND "
         f"len(list_intersect({tokens('lower(s)')}, {factual})) > 0)"
@@ -184,7 +260,7 @@ def claims(t: str) -> str:
 
 def open_claims(found: str, known: str) -> str:
     """Claims that the word list ``known`` does not support."""
-    stop = _list(lexicon.STOP_WORDS)
+    stop = _list(STOP_WORDS)
     words = (
         f"list_filter(list_distinct({tokens('lower(c)')}), lambda w: NOT list_contains({stop}, w))"
     )
@@ -268,7 +344,7 @@ def output_columns(
 ) -> str:
     """Guard columns of a response; ``grounded`` is the condition under which sources are checked."""
     toxic = is_toxic(p)
-    note = _q(lexicon.UNVERIFIED_NOTE.replace("\n", "")).replace("'", "", 1)
+    note = _q(UNVERIFIED_NOTE.replace("\n", "")).replace("'", "", 1)
     suffix = f"({NL} || {NL} || '{note})"
     pii = (
         f"'toxicity:pass:;' || CASE WHEN len({p}types) > 0 "
@@ -285,7 +361,7 @@ def output_columns(
           ELSE ';hallucination:pass:Score: ' || {shown} END"""
     return f"""CASE WHEN {when} THEN {toxic} END AS {out}blocked,
   CASE WHEN {when} THEN CASE WHEN {toxic} THEN '' ELSE {text} END END AS {out}text,
-  CASE WHEN {when} THEN CASE WHEN {toxic} THEN {_q(lexicon.UNSAFE_OUTPUT_REASON)}
+  CASE WHEN {when} THEN CASE WHEN {toxic} THEN {_q(UNSAFE_OUTPUT_REASON)}
     ELSE '' END END AS {out}reason,
   CASE WHEN {when} THEN CASE WHEN {toxic} THEN 'toxicity:blocked:'
     ELSE {checks} END END AS {out}checks"""
@@ -318,11 +394,18 @@ GUARD_MESSAGES = f"""WITH {CONV}, {scan('conv', 'text', 's')}, {safe_cte('s', 't
 SELECT conv_id, turn, role, {input_columns('text', "role = 'user'", out='input_')},
   {output_columns('safe', "role = 'assistant'", out='output_')} FROM m"""
 
-# The stream strips messages and leaves out session-ending ones; probed texts never are.
-GUARD_STREAM = GUARD_MESSAGES.replace(
-    "AS text FROM conversations", "AS text FROM (SELECT * REPLACE (ltrim(text, "
-    f"{BLANKS}) AS text) FROM conversations)",
-)
+# The stream strips the messages of users; probed texts are never empty or an exit word.
+_LED = f"""conv AS (SELECT conv_id, turn, role, CASE WHEN role = 'user'
+  THEN ltrim({probed_sql('text', 'conv_id * 31 + turn')}, {BLANKS})
+  ELSE {NL} || ' ' || {probed_sql('text', 'conv_id * 31 + turn')} END AS text FROM conversations)"""
+GUARD_STREAM = GUARD_MESSAGES.replace(CONV, _LED)
+GUARD_STREAM_SOURCES = f"""WITH {_LED}, src AS (
+  SELECT conv_id, [min(text)] AS sources FROM conversations
+  WHERE role = 'user' AND conv_id % 3 <> 0 GROUP BY conv_id),
+joined AS (SELECT conv.*, sources FROM conv LEFT JOIN src USING (conv_id)),
+{scan('joined', 'text', 's')}, {safe_cte('s', 'text', 'm')}, {ground_ctes('m', 'safe')}
+SELECT conv_id, turn, role, {input_columns('text', "role = 'user'", out='input_')},
+  {output_columns('safe', "role = 'assistant'", out='output_', grounded=HAS_SOURCES)} FROM gr"""
 
 _ANSWERED = f"""{scan('exs', 'query', 'i', 'i_')},
 a AS (SELECT *, CASE WHEN NOT (i_phrase IS NOT NULL OR {is_toxic('i_')}) THEN response END AS answer
@@ -338,6 +421,14 @@ EXCHANGES_GROUNDED = f"""WITH {CONV}, {EXCH}, {EXCH_SOURCES}, {_ANSWERED},
 SELECT conv_id, turn, {input_columns('query', p='i_', out='input_')},
   {output_columns('o_safe', 'answer IS NOT NULL', 'o_', 'output_', grounded=HAS_SOURCES)} FROM gr"""
 
+GUARDS_CONFIGURED = (
+    EXCHANGES_GROUNDED.replace(
+        injection("query"), injection("query", ("you are now free", "pirate", "the service"))
+    )
+    .replace(">= 0.5", ">= 0.2")
+    .replace("< 0.7", "< 0.95")
+)
+
 GUARD_REPORT = f"""WITH guarded AS ({EXCHANGES_GROUNDED}),
 c AS (
   SELECT 'input' AS stage, unnest(string_split(input_checks, ';')) AS item FROM guarded
@@ -354,11 +445,15 @@ SELECT conv_id, turn, text AS query,
 FROM n WHERE role = 'user'"""
 
 CLEAN_MESSAGES = f"""WITH said AS (
-  SELECT conv_id, turn, trim(CASE WHEN role = 'system'
-    THEN ([' Quit' || {NL}, 'EXIT', chr(9) || 'q ', '  ', 'quit it'])[(conv_id % 5) + 1]
-    ELSE ' ' || {NL} || text || chr(9) || ' ' END, {BLANKS}) AS text FROM conversations)
-SELECT conv_id, turn, text FROM said
-WHERE text <> '' AND lower(text) NOT IN ('quit', 'exit', 'q')"""
+  SELECT conv_id, turn, role, ' ' || {NL} || text || chr(9) || ' ' AS text FROM conversations
+  UNION ALL
+  SELECT conv_id, no, r,
+    ([' Quit' || {NL}, 'EXIT', chr(9) || 'q ', '  ', 'quit it'])[(conv_id % 5) + 1]
+  FROM conversations, (VALUES (-1, 'user'), (-2, 'assistant')) x(no, r) WHERE turn = 0),
+bare AS (SELECT * REPLACE (CASE WHEN role = 'user' THEN trim(text, {BLANKS}) ELSE text END AS text)
+  FROM said)
+SELECT conv_id, turn::bigint AS turn, role, text FROM bare
+WHERE role <> 'user' OR (text <> '' AND lower(text) NOT IN ('quit', 'exit', 'q'))"""
 
 
 # --- documents -----------------------------------------------------------------------------------------
@@ -420,18 +515,23 @@ vocab AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, md5(word), word) +
   FROM counted)"""
 VOCABULARY = f"WITH {_CHUNKS}, {PAIRS_CTE}, {PROMPTS_CTE}, {VOCAB_CTE} SELECT word, n, id FROM vocab"
 SEQUENCES = f"""WITH {_CHUNKS}, {PAIRS_CTE}, {PROMPTS_CTE}, {VOCAB_CTE},
-placed AS (SELECT doc_id, chunk_no, pair_no, unnest(w[1:256]) AS word,
-  unnest(range(1, len(w[1:256]) + 1)) AS pos FROM split),
-ids AS (SELECT doc_id, chunk_no, pair_no, list(id::varchar ORDER BY pos) AS ids
-  FROM placed JOIN vocab USING (word) GROUP BY ALL)
+asked AS (
+  SELECT doc_id, chunk_no, pair_no, w[1:2048] AS w FROM split
+  UNION ALL
+  SELECT -1 - doc_id, 0, 0, CASE WHEN doc_id % 3 <> 0 THEN [] END FROM documents),
+placed AS (SELECT doc_id, chunk_no, pair_no, unnest(w) AS word,
+  unnest(range(1, len(w) + 1)) AS pos FROM asked),
+found AS (SELECT doc_id, chunk_no, pair_no, list(id::varchar ORDER BY pos) AS known
+  FROM placed JOIN vocab USING (word) GROUP BY ALL),
+ids AS (SELECT doc_id, chunk_no, pair_no, CASE WHEN w IS NOT NULL THEN coalesce(known, []) END AS ids
+  FROM asked LEFT JOIN found USING (doc_id, chunk_no, pair_no))
 SELECT doc_id, chunk_no, pair_no,
-  array_to_string(list_concat(ids, list_transform(range(256 - len(ids)), lambda x: '0')), ' ')
-    AS input_ids,
-  array_to_string(list_concat(list_transform(ids, lambda x: '1'),
-    list_transform(range(256 - len(ids)), lambda x: '0')), ' ') AS attention_mask,
-  array_to_string(list_concat(ids, list_transform(range(256 - len(ids)), lambda x: '-100')), ' ')
-    AS labels
-FROM ids"""
+  CASE WHEN ids IS NOT NULL THEN md5(array_to_string(list_concat(ids, zeros), ' ')) END AS input_ids,
+  CASE WHEN ids IS NOT NULL THEN md5(array_to_string(
+    list_concat(list_transform(ids, lambda x: '1'), zeros), ' ')) END AS attention_mask,
+  CASE WHEN ids IS NOT NULL THEN md5(array_to_string(
+    list_concat(ids, list_transform(zeros, lambda x: '-100')), ' ')) END AS labels
+FROM (SELECT *, list_transform(range(2048 - len(ids)), lambda x: '0') AS zeros FROM ids)"""
 EPOCH_PLAN = """WITH ranked AS (
   SELECT doc_id, row_number() OVER (ORDER BY md5('3:' || doc_id::varchar), doc_id) - 1 AS pos,
     count(*) OVER () AS total FROM documents),
@@ -453,10 +553,19 @@ def metric_columns(samples: str) -> str:
 
 
 RUN_HISTORY = f"WITH {_EPOCHS} SELECT {metric_columns('n * 4')} FROM epochs"
-RUN_METRICS = f"""WITH {_EPOCHS}, b AS (
-  SELECT *, min(loss) OVER (PARTITION BY run_id ORDER BY epoch
+_DIVERGED = _EPOCHS.replace("avg(value)", """avg(CASE
+      WHEN (datediff('day', date '2024-01-01', ts::date) + 1) % 7 = 1 THEN 'NaN'::double
+      WHEN (datediff('day', date '2024-01-01', ts::date) + 1) % 5 = 2 THEN 'Infinity'::double
+      ELSE value END)""")
+RUN_METRICS = f"""WITH {_DIVERGED}, b AS (
+  SELECT *, min(CASE WHEN isfinite(loss) THEN loss END) OVER (PARTITION BY run_id ORDER BY epoch
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM epochs)
-SELECT {metric_columns('10000')}, low IS NULL OR loss < low AS is_best FROM b"""
+SELECT {metric_columns('(SELECT count(*) FROM documents)')
+        .replace('round(loss, 6)', 'CASE WHEN isfinite(loss) THEN round(loss, 6) END')},
+  isfinite(loss) AND (low IS NULL OR loss < low) AS is_best FROM b"""
+RUN_TOTALS = f"""WITH {_DIVERGED}
+SELECT run_id, count(*) AS n_epochs, round(sum(time_s), 3) AS total_time_s,
+  round(min(CASE WHEN isfinite(loss) THEN loss END), 6) AS best_loss FROM epochs GROUP BY run_id"""
 
 ORACLE: dict[str, str] = {
     "pii_entities": PII_ENTITIES,
@@ -471,6 +580,8 @@ ORACLE: dict[str, str] = {
     "output_guard_join": OUTPUT_GUARD_JOIN,
     "guard_messages": GUARD_MESSAGES,
     "guard_stream": GUARD_STREAM,
+    "guard_stream_sources": GUARD_STREAM_SOURCES,
+    "guards_configured": GUARDS_CONFIGURED,
     "grounding_rows": GROUNDING_ROWS,
     "grounding_history": GROUNDING_HISTORY,
     "grounding_attached": GROUNDING_ATTACHED,
@@ -490,6 +601,9 @@ ORACLE: dict[str, str] = {
     "vocabulary": VOCABULARY,
     "sequences": SEQUENCES,
     "epoch_plan": EPOCH_PLAN,
+    "epoch_plan_file": EPOCH_PLAN,
     "run_history": RUN_HISTORY,
+    "history_file": RUN_HISTORY,
     "run_metrics": RUN_METRICS,
+    "run_totals": RUN_TOTALS,
 }

@@ -23,7 +23,7 @@ from parapet.operators.guards import (
     with_pii,
     with_toxicity,
 )
-from parapet.operators.metrics import epoch_rollup, run_metrics
+from parapet.operators.metrics import epoch_rollup, run_metrics, run_totals
 from parapet.operators.reports import pii_by_type, toxicity_by_category
 from parapet.operators.rows import unfold
 from parapet.operators.sequences import (
@@ -34,12 +34,24 @@ from parapet.operators.sequences import (
 )
 from parapet.session import shared_folder
 from parapet.sources.messages import clean_messages
-from parapet.sources.samples import dataset_size, read_samples, write_samples
+from parapet.sources.samples import (
+    dataset_size,
+    read_history,
+    read_samples,
+    write_epoch_plan,
+    write_history,
+    write_samples,
+)
 from parapet.streaming.messages import guard_stream, read_message_stream, write_guarded
 
 DOC, TURN = ("doc_id",), ("conv_id", "turn")
 SAMPLE = (*DOC, "chunk_no", "pair_no")
-SEQUENCE_LENGTH = 256
+# Settings of the guards that differ from the defaults.
+OWN_SETTINGS = {
+    "injection_patterns": ("you are now free", "pirate", "the service"),
+    "hallucination_threshold": 0.95,
+    "toxicity_threshold": 0.2,
+}
 
 
 # --- tables ----------------------------------------------------------------------------
@@ -244,15 +256,16 @@ def guarded_messages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def guarded_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The given conversations as a stream of files, guarded, landed as parquet and read back."""
+def _streamed(spark: SparkSession, sf: str, sources: DataFrame | None = None) -> DataFrame:
+    """The given conversations, led by blanks, as a guarded stream, landed and read back."""
     schema = _table(spark, sf, "conversations").schema
     stream = read_message_stream(spark, sf, schema, glob="conversations.parquet")
     key = F.col("conv_id") * 31 + F.col("turn")
-    salted = stream.withColumn("text", probed(F.col("text"), key))
+    salted = stream.withColumn("text", F.concat(F.lit("\n "), probed(F.col("text"), key)))
     out = _scratch(spark, "guarded-messages")
     query = write_guarded(
-        guard_stream(salted), f"{out}/rows", f"guarded_{uuid.uuid4().hex}", available_now=True
+        guard_stream(salted, sources=sources), f"{out}/rows", f"guarded_{uuid.uuid4().hex}",
+        available_now=True,
     )
     query.awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(
@@ -260,6 +273,18 @@ def guarded_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def guarded_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(spark, sf)
+
+
+def guarded_stream_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream with a static table of sources: one query of two conversations in three."""
+    asked = _table(spark, sf, "conversations").filter("role = 'user' and conv_id % 3 <> 0")
+    return _streamed(
+        spark, sf, asked.groupBy("conv_id").agg(F.array(F.min("text")).alias("sources"))
+    )
+
+
 # --- grounding -----------------------------------------------------------------------------
 def grounding_rows(spark: SparkSession, sf: str) -> DataFrame:
     judged = _exchanges(spark, sf).withColumn(
@@ -306,14 +331,28 @@ def check_report(spark: SparkSession, sf: str) -> DataFrame:
     return guard_report(guarded_exchanges(_exchanges(spark, sf), sources="sources"))
 
 
+def configured_guards(spark: SparkSession, sf: str) -> DataFrame:
+    """Guarded exchanges with injection phrases and thresholds of the caller's own."""
+    guarded = guarded_exchanges(_exchanges(spark, sf), OWN_SETTINGS, sources="sources")
+    return guarded.select(
+        *TURN, *_flat_guard("input", "input_"), *_flat_guard("output", "output_")
+    )
+
+
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns with surrounding blanks; those of system messages are replaced by exit words."""
+    """Turns with surrounding blanks; each conversation also gets an exit word in both roles."""
     turns = _texts(spark, sf, "conversations", *TURN, "role", "text")
     words = F.array(*[F.lit(w) for w in (" Quit\n", "EXIT", "\tq ", "  ", "quit it")])
-    said = F.when(
-        F.col("role") == "system", F.get(words, (F.col("conv_id") % 5).cast("int"))
-    ).otherwise(F.concat(F.lit(" \n"), F.col("text"), F.lit("\t ")))
-    return clean_messages(turns.select(*TURN, said.alias("text")))
+    word = F.get(words, (F.col("conv_id") % 5).cast("int"))
+    blanks = F.concat(F.lit(" \n"), F.col("text"), F.lit("\t "))
+    said = turns.select(*TURN, "role", blanks.alias("text"))
+    for no, role in ((-1, "user"), (-2, "assistant")):
+        left = turns.filter("turn = 0").select(
+            "conv_id", F.lit(no).cast("bigint").alias("turn"), F.lit(role).alias("role"),
+            word.alias("text"),
+        )
+        said = said.unionByName(left)
+    return clean_messages(said)
 
 
 # --- documents -----------------------------------------------------------------------------
@@ -365,18 +404,39 @@ def word_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences of the default length, also of a null, empty or blank prompt for each document."""
+    docs = _table(spark, sf, "documents")
+    bare = F.get(F.array(F.lit(None), F.lit(""), F.lit(" \n")), (F.col("doc_id") % 3).cast("int"))
+    none = docs.select(
+        (-1 - F.col("doc_id")).alias("doc_id"), F.lit(0).alias("chunk_no"), F.lit(0).alias("pair_no"),
+        bare.alias("prompt"),
+    )
     ready = _prompts(spark, sf)
-    ids = encode_words(ready, vocabulary(ready), SAMPLE, max_length=SEQUENCE_LENGTH)
-    shaped = shape_sequences(ids, SEQUENCE_LENGTH)
+    stored = f"{_scratch(spark, 'vocabulary')}/rows"
+    vocabulary(ready).write.parquet(stored)
+    ids = encode_words(ready.unionByName(none), spark.read.parquet(stored), SAMPLE)
+    shaped = shape_sequences(ids)
     return shaped.select(
         "doc_id", *_long("chunk_no", "pair_no"),
-        *[F.array_join(c, " ").alias(c) for c in ("input_ids", "attention_mask", "labels")],
+        *[F.md5(F.array_join(c, " ")).alias(c) for c in ("input_ids", "attention_mask", "labels")],
     )
 
 
-def epoch_order(spark: SparkSession, sf: str) -> DataFrame:
+def _epoch_plan(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id")
-    plan = epoch_plan(docs, DOC, epoch=3, world_size=7, batch_size=4)
+    return epoch_plan(docs, DOC, epoch=3, world_size=7, batch_size=4)
+
+
+def epoch_order(spark: SparkSession, sf: str) -> DataFrame:
+    plan = _epoch_plan(spark, sf)
+    return plan.select("doc_id", *_long("position", "rank", "step", "batch_no"))
+
+
+def epoch_plan_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The epoch plan, written by rank and read back."""
+    folder = f"{_scratch(spark, 'epoch-plan')}/rows"
+    write_epoch_plan(_epoch_plan(spark, sf), folder)
+    plan = spark.read.parquet(folder)
     return plan.select("doc_id", *_long("position", "rank", "step", "batch_no"))
 
 
@@ -392,8 +452,36 @@ def run_history(spark: SparkSession, sf: str) -> DataFrame:
     return epoch_rollup(_steps(spark, sf), batch_size=4).select(*_metric_columns())
 
 
+def _best(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of runs of which some epochs diverge: no number, or an infinite loss."""
+    diverged = F.when(F.col("epoch") % 7 == 1, float("nan")).when(
+        F.col("epoch") % 5 == 2, float("inf")
+    )
+    steps = _steps(spark, sf).withColumn("loss", F.coalesce(diverged, "loss"))
+    size = dataset_size(_table(spark, sf, "documents")).first()["n_samples"]
+    return run_metrics(steps, dataset_size=size)
+
+
+def _finite(name: str) -> Column:
+    return F.when(F.abs(name) < float("inf"), F.round(name, 6)).alias(name)
+
+
 def best_epochs(spark: SparkSession, sf: str) -> DataFrame:
-    return run_metrics(_steps(spark, sf), dataset_size=10000).select(*_metric_columns("is_best"))
+    return _best(spark, sf).withColumn("loss", _finite("loss")).select(*_metric_columns("is_best"))
+
+
+def history_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The history of the runs as JSON lines, written and read back."""
+    folder = f"{_scratch(spark, 'history')}/rows"
+    write_history(epoch_rollup(_steps(spark, sf), batch_size=4), folder)
+    return read_history(spark, folder).select(*_metric_columns())
+
+
+def totals(spark: SparkSession, sf: str) -> DataFrame:
+    return run_totals(_best(spark, sf)).select(
+        "run_id", "n_epochs", F.round("best_loss", 6).alias("best_loss"),
+        F.round("total_time_s", 3).alias("total_time_s"),
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -409,6 +497,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "output_guard_join": output_guard_join,
     "guard_messages": guarded_messages,
     "guard_stream": guarded_stream,
+    "guard_stream_sources": guarded_stream_sources,
+    "guards_configured": configured_guards,
     "grounding_rows": grounding_rows,
     "grounding_history": grounding_history,
     "grounding_attached": grounding_attached,
@@ -428,6 +518,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vocabulary": word_ids,
     "sequences": sequences,
     "epoch_plan": epoch_order,
+    "epoch_plan_file": epoch_plan_file,
     "run_history": run_history,
+    "history_file": history_file,
     "run_metrics": best_epochs,
+    "run_totals": totals,
 }

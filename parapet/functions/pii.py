@@ -12,6 +12,7 @@ ENTITY = "struct<type:string,value:string,start:int,end:int>"
 PII = f"struct<has_pii:boolean,entities:array<{ENTITY}>,masked_text:string,original_text:string>"
 
 _NO_ENTITIES = f"array<{ENTITY}>"
+_BLOCK = 128
 
 # The word characters and the others a match of each type can start with.
 _FIRST = {
@@ -55,10 +56,11 @@ def _located(part: Column) -> Column:
     """Entities with code point offsets from one type's matches and the pieces between them.
 
     Pieces and matches alternate, so a running sum of their lengths gives every offset; the piece
-    after the last match has no partner.
+    after the last match has no partner. Sums run in blocks, since a fold copies what it has
+    gathered at each step: the copies grow with a block and not with the text.
     """
     pieces = F.zip_with(
-        part["found"], part["gaps"],
+        part["found"], F.slice(part["gaps"], F.lit(1), F.size(part["found"])),
         lambda v, g: F.struct(v.alias("v"), F.length(g).alias("g"), F.length(v).alias("n")),
     )
 
@@ -69,11 +71,20 @@ def _located(part: Column) -> Column:
             part["kind"].alias("type"), piece["v"].alias("value"),
             start.alias("start"), end.alias("end"),
         )
-        further = F.struct(end.alias("at"), F.concat(acc["out"], F.array(entity)).alias("out"))
-        return F.when(piece["v"].isNull(), acc).otherwise(further)
-
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_NO_ENTITIES).alias("out"))
-    return F.aggregate(pieces, empty, step, lambda acc: acc["out"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(entity)).alias("out"))
+
+    def block(every: Column, acc: Column, first: Column) -> Column:
+        inner = F.struct(acc["at"].alias("at"), F.array().cast(_NO_ENTITIES).alias("out"))
+        done = F.aggregate(F.slice(every, first, F.lit(_BLOCK)), inner, step)
+        return let(done, lambda d: F.struct(
+            d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")
+        ))
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_NO_ENTITIES}>").alias("out"))
+    firsts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(part["found"])), F.lit(_BLOCK))
+    return let(pieces, lambda every: F.aggregate(
+        firsts, empty, lambda acc, first: block(every, acc, first), lambda acc: F.flatten(acc["out"])
+    ))
 
 
 def pii_entities(text: Column, low: Column | None = None) -> Column:

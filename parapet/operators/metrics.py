@@ -44,6 +44,9 @@ def run_metrics(
 ) -> DataFrame:
     """``epoch_rollup`` plus ``is_best``: loss strictly below every earlier epoch of the run.
 
+    The best loss starts at infinity, so an epoch whose loss is infinite or not a number never is
+    the best one, and does not stand in the way of a later one.
+
     Steps are folded to epochs before anything is ordered. Within a run the lowest earlier loss
     is taken inside spans of epochs, and over the minima of the spans before, so a long run is
     never ordered by one task.
@@ -66,10 +69,24 @@ def run_metrics(
         )
     )
     same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("_span").eqNullSafe(F.col("_of"))
+    high = F.lit(float("inf"))  # Spark orders what is not a number above it
     best_before = F.least(F.col("_low_inside"), F.col("_low_spans"))
     return (
         epochs.withColumn("_low_inside", F.min("loss").over(inside))
         .join(lowest, same)
-        .withColumn("is_best", best_before.isNull() | (F.col("loss") < best_before))
+        .withColumn("is_best", F.col("loss") < F.coalesce(F.nanvl(best_before, high), high))
         .drop("_span", "_low_inside", "_low_spans", "_run", "_of")
     )
+
+
+def run_totals(epochs: DataFrame) -> DataFrame:
+    """One row per ``run_id`` of an epoch table: ``n_epochs``, ``best_loss``, ``total_time_s``.
+
+    ``best_loss`` is the lowest finite loss, null where no epoch has one.
+    """
+    finite = F.when(F.abs("loss") < float("inf"), F.col("loss"))
+    return epochs.groupBy("run_id").agg(
+        F.count("*").alias("n_epochs"),
+        F.min(finite).alias("best_loss"),
+        F.sum("time_s").alias("total_time_s"),
+    )

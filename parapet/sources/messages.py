@@ -14,10 +14,12 @@ def is_message(text: Column) -> Column:
     return (text != "") & ~F.lower(text).isin(*lexicon.EXIT_WORDS)
 
 
-def clean_messages(messages: DataFrame, text: str = "text") -> DataFrame:
-    """Messages stripped of outer whitespace, without empty and session-ending ones.
+def clean_messages(messages: DataFrame, text: str = "text", role: str = "role") -> DataFrame:
+    """User messages stripped of outer whitespace, without empty and session-ending ones.
 
-    Works on batch and streaming frames. A null text is kept.
+    Messages of other roles, and null texts, stay as they are. Works on batch and streaming frames.
     """
-    stripped = messages.withColumn(text, strip(F.col(text)))
-    return stripped.filter(F.col(text).isNull() | is_message(F.col(text)))
+    asked = F.coalesce(F.col(role) == "user", F.lit(False))
+    said = F.when(asked, strip(F.col(text))).otherwise(F.col(text))
+    stripped = messages.withColumn(text, said)
+    return stripped.filter(~asked | F.col(text).isNull() | is_message(F.col(text)))

@@ -12,8 +12,22 @@ HISTORY_COLUMNS = ("run_id", "epoch", "loss", "time_s", "throughput")
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines samples; ``input`` and ``source`` may be missing, a malformed line fails."""
-    return spark.read.schema(SAMPLE_SCHEMA).option("mode", "FAILFAST").json(path)
+    """JSON-lines samples. A malformed line, or one without instruction or output, fails.
+
+    ``input`` and ``source`` may be missing. Blank lines are no samples.
+    """
+    rows = spark.read.schema(SAMPLE_SCHEMA).option("mode", "FAILFAST").json(path)
+    needed = {
+        field: F.coalesce(field, F.raise_error(F.lit(f"a sample has no {field}")).cast("string"))
+        for field in ("instruction", "output")
+    }
+    return rows.withColumns(needed)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """Run metrics as :func:`write_history` leaves them."""
+    schema = "run_id string, epoch bigint, loss double, time_s double, throughput double"
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def write_samples(pairs: DataFrame, path: str, mode: str = "error") -> None:

@@ -10,6 +10,7 @@ from parapet.functions.pii import pii_scan
 from parapet.functions.toxicity import injection_match, toxicity
 from parapet.operators.guards import guard_inputs, guard_messages, guard_outputs
 
+# --- fixed values: test sentences with their known results ------------------------------
 PII_CASES = [
     ("Contact john.doe@company.com for help", [("email", 8, 28)], "Contact [EMAIL] for help"),
     ("Call us at 317-740-8045", [("phone", 11, 23)], "Call us at [PHONE]"),

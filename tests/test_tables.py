@@ -5,7 +5,6 @@ import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
-import plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from parapet.operators.epochs import epoch_plan
 from parapet.operators.exchanges import guard_report, guarded_exchanges, pair_turns
 from parapet.operators.grounding import grounding_join, guard_outputs_join
 from parapet.operators.guards import guard_outputs, with_pii, with_toxicity
-from parapet.operators.metrics import run_metrics
+from parapet.operators.metrics import run_metrics, run_totals
 from parapet.operators.reports import pii_by_type, toxicity_by_category
 from parapet.operators.sequences import (
     encode_words,
@@ -50,34 +49,17 @@ def told(spark):
 
 
 @pytest.mark.parametrize("fanout", [1, 3])
-def test_grounding_join_equals_plain_python(told, fanout):
+def test_grounding_join_equals_grounding_in_the_row(told, fanout):
     df, src, responses, sources = told
-    by_key = defaultdict(list)
-    for key, _, text in sources:
-        by_key[key].append(text)
-    got = {
-        r.rid: r.grounding
-        for r in grounding_join(df, src, ["rid"], key=["key"], fanout=fanout).collect()
-    }
-    for rid, key, text in responses:
-        if text is None:
-            assert got.get(rid) is None
-        elif key in by_key:
-            assert tuple(got[rid]) == plain.grounding(text, by_key[key]), text
-        else:
-            assert got[rid] is None
-
-
-def test_grounding_join_equals_grounding_in_the_row(told):
-    df, src, *_ = told
     lists = src.groupBy("key").agg(F.collect_list("source_text").alias("sources"))
     in_row = df.join(lists, "key", "left").select(
         "rid", grounding(F.col("response"), F.col("sources")).alias("grounding")
     )
-    a = {r.rid: r.grounding for r in in_row.collect() if r.grounding is not None}
-    joined = grounding_join(df, src, ["rid"], key=["key"])
-    b = {r.rid: r.grounding for r in joined.collect() if r.grounding is not None}
-    assert a == b and a
+    joined = grounding_join(df, src, ["rid"], key=["key"], fanout=fanout)
+    a, b = ({r.rid: r.grounding for r in x.collect()} for x in (in_row, joined))
+    keys = {key for key, *_ in sources}
+    checked = {rid for rid, key, text in responses if text is not None and key in keys}
+    assert {rid: a[rid] for rid in checked} == {rid: g for rid, g in b.items() if g is not None}
 
 
 def test_only_earlier_sources_count(spark):
@@ -86,14 +68,11 @@ def test_only_earlier_sources_count(spark):
     df = spark.createDataFrame(turns, "c int, t int, response string")
     src = df.select("c", F.col("t").alias("seq"), F.col("response").alias("source_text"))
     got = grounding_join(df, src, ["c", "t"], key=["c"], before=("t", "seq"), fanout=2).collect()
-    assert len(got) == len(turns)
-    for r in got:
-        earlier = [x for c, t, x in turns if c == r.c and t < r.t]
-        if not earlier:
-            assert r.grounding is None
-        else:
-            text = next(x for c, t, x in turns if (c, t) == (r.c, r.t))
-            assert tuple(r.grounding) == plain.grounding(text, earlier)
+    rows = [(c, t, x, [z for d, u, z in turns if d == c and u < t] or None) for c, t, x in turns]
+    in_row = spark.createDataFrame(rows, "c int, t int, response string, sources array<string>")
+    judged = F.when(F.col("sources").isNotNull(), grounding(F.col("response"), F.col("sources")))
+    expected = in_row.select("c", "t", judged.alias("grounding")).collect()
+    assert {(r.c, r.t): r.grounding for r in got} == {(r.c, r.t): r.grounding for r in expected}
 
 
 def test_output_guard_with_a_source_table(told):
@@ -213,6 +192,18 @@ def test_run_metrics(spark):
     assert per_step.throughput == 3.0
 
 
+def test_diverged_epochs_are_never_the_best(spark):
+    nan, inf = float("nan"), float("inf")
+    losses = {"a": [nan, 3.0, nan, 2.0], "b": [inf, 1.0, inf, 0.5], "c": [nan], "d": [2.0, nan, 1.0]}
+    steps = [(run, e, x, datetime(2024, 1, 1)) for run, xs in losses.items() for e, x in enumerate(xs)]
+    df = spark.createDataFrame(steps, "run_id string, epoch int, loss double, ts timestamp")
+    epochs = run_metrics(df)
+    best = sorted((r.run_id, r.epoch) for r in epochs.filter("is_best").collect())
+    assert best == [("a", 1), ("a", 3), ("b", 1), ("b", 3), ("d", 0), ("d", 2)]
+    assert {(r.run_id, r.n_epochs, r.best_loss) for r in run_totals(epochs).collect()} == {
+        ("a", 4, 2.0), ("b", 4, 0.5), ("c", 1, None), ("d", 3, 1.0)}
+
+
 def test_best_epoch_of_a_long_run(spark):
     rnd = random.Random(14)
     losses = [round(1000 - e / 20 + rnd.random() * 40, 3) for e in range(9000)]
@@ -249,6 +240,15 @@ def test_vocabulary_and_encoding(spark):
         assert got[k] == [1 if w == "w7" else place[w] for w in text.split()[:12]]
 
 
+def test_samples_without_words_stay(spark):
+    texts = [(1, "alpha beta"), (2, None), (3, ""), (4, "   "), (5, "beta")]
+    df = spark.createDataFrame(texts, "k int, prompt string")
+    got = {r.k: r.ids for r in encode_words(df, vocabulary(df), ["k"]).collect()}
+    assert got == {1: [3, 2], 2: None, 3: [], 4: [], 5: [2]}
+    shaped = {r.k: r.input_ids for r in shape_sequences(encode_words(df, vocabulary(df), ["k"]), 2).collect()}
+    assert shaped == {1: [3, 2], 2: None, 3: [0, 0], 4: [0, 0], 5: [2, 0]}
+
+
 def test_rare_words_meet_the_rest_of_the_vocabulary(spark, monkeypatch):
     from parapet.operators import sequences as S
 
