@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parapet.llm.common import keep
+from parapet.operators.rows import unfold
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Benchmarks up to this many bytes of windows are broadcast; larger ones are joined by shuffle.
@@ -50,7 +51,7 @@ def window_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     text = docs.select("doc_id", F.xxhash64("text").alias("digest"), words(F.col("text")).alias("w"))
     spread = wins.select("key", F.posexplode("win").alias("at", "word"))
     vocabulary = spread.select("word").distinct()
-    seen = text.select(F.explode("w").alias("word"))
+    seen = unfold(text, [], F.col("w"), "word", "pos").select("word")
     if small:  # words outside the benchmark go before they are counted
         seen = seen.join(hint(vocabulary), "word", "left_semi")
     counts = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -64,9 +65,8 @@ def window_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
                 F.size("win").alias("len"))
     )
     rare = keep(rare, "rare-words")
-    placed = text.where("size(w) > 0").select(
-        "doc_id", "digest", "w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word")
-    )
+    kept = ["doc_id", "digest", "w", F.size("w").alias("n")]
+    placed = unfold(text, kept, F.col("w"), "word", "pos")
     start, inside = F.col("pos") - F.col("at"), F.expr("pos >= at and pos - at + len <= n")
     out = ["doc_id", "digest", "start", "len", "key"]
     if small:

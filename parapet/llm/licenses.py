@@ -12,8 +12,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parapet.functions.text import let
+
 THRESHOLD = 0.8
-_SPLIT = r"[^\p{L}\p{N}]+"
+#: What parts words: ASCII but letters and digits, and common signs beyond it.
+_SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\xBF\u2000-\u206F]+"
 
 #: Usual licence notices and texts, by SPDX identifier.
 TEMPLATES = [
@@ -80,10 +83,10 @@ def template_bigrams(text: str) -> list[str]:
 def bigrams(text: Column) -> Column:
     """Distinct word bigrams of a text, as 64-bit hashes; null for fewer than two words."""
     words = F.array_remove(F.split(F.lower(text), _SPLIT), "")
-    n = F.size(words) - 1
-    pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n),
-                       lambda a, b: F.xxhash64(a, b))
-    return F.when(n > 0, F.array_distinct(pairs))
+    return let(words, lambda w: F.when(F.size(w) > 1, F.array_distinct(F.zip_with(
+        F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1),
+        lambda a, b: F.xxhash64(a, b),
+    ))))
 
 
 def units(text: Column) -> Column:

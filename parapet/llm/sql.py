@@ -49,7 +49,7 @@ WITH t(name, g) AS (VALUES {rows}), d AS (
   SELECT DISTINCT k, unnest(list_concat(string_split(text, chr(10)),
          regexp_split_to_array(text, '\\n\\s*\\n'), [text])) AS u FROM d WHERE text IS NOT NULL
 ), w AS (
-  SELECT k, u, list_filter(regexp_split_to_array(lower(u), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
+  SELECT k, u, list_filter(regexp_split_to_array(lower(u), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\xBF\\x{{2000}}-\\x{{206F}}]+'), lambda x: x <> '') AS w
   FROM u
 ), g AS (
   SELECT k, u, list_distinct(list_transform(generate_series(1, len(w) - 1),
