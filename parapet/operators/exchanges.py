@@ -35,16 +35,15 @@ def pair_turns(transcripts: DataFrame, consecutive: bool = False) -> DataFrame:
         "conv_id", "turn", "role", "text", F.floor(F.col("turn") / _SPAN).alias("span")
     )
     following = F.struct("role", "text")
+    following_of = lambda c: F.struct(F.col(c)["role"].alias("role"), F.col(c)["text"].alias("text"))
     in_span = Window.partitionBy("conv_id", "span").orderBy("turn")
     within = spanned.withColumn("next", F.lead(following).over(in_span))
 
-    heads = spanned.groupBy("conv_id", "span").agg(F.min("turn").alias("head_turn"))
+    head = F.min(F.struct("turn", "role", "text")).alias("head")
+    heads = spanned.groupBy("conv_id", "span").agg(head)
     in_conv = Window.partitionBy("conv_id").orderBy("span")
-    previous = heads.withColumn("span", F.lag("span").over(in_conv)).filter("span is not null")
-    bridges = previous.join(
-        transcripts.select("conv_id", F.col("turn").alias("head_turn"), following.alias("head")),
-        ["conv_id", "head_turn"],
-    ).select("conv_id", "span", "head")
+    bridges = heads.withColumn("span", F.lag("span").over(in_conv)).filter("span is not null")
+    bridges = bridges.select("conv_id", "span", following_of("head").alias("head"))
     ahead = F.coalesce("next", "head")
     return (
         within.join(bridges, ["conv_id", "span"], "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parapet.config import GuardConfig
@@ -23,8 +23,15 @@ from parapet.functions.text import tokens
 from parapet.operators.guards import find, guard_of_findings
 from parapet.operators.rows import unfold
 
-# Stands for "this key has sources at all"; no real word is empty.
-_PRESENCE = ""
+# Words that stand for "this key has sources at all"; real ones start with no blank. A response meets
+# one of them, by its own hash, so that what it carries is spread also where all share one key.
+_PRESENCES = 64
+
+
+def _presence(number: Column) -> Column:
+    return F.concat(F.lit(" "), number.cast("string"))
+
+
 _CLAIMS = "array<struct<claim:string,words:array<string>>>"
 
 
@@ -39,7 +46,9 @@ def _claim_words(
     found = F.transform(
         claims(F.col(text)), lambda c: F.struct(c.alias("claim"), claim_words(c).alias("words"))
     )
-    marker = F.when(F.col(text).isNotNull(), F.lit(_PRESENCE))
+    marker = F.when(
+        F.col(text).isNotNull(), _presence(F.pmod(F.xxhash64(*ids), F.lit(_PRESENCES)))
+    )
     presence = F.struct(F.lit(None).cast("string").alias("claim"), F.array(marker).alias("words"))
     listed = F.concat(F.array(presence), F.coalesce(found, F.array().cast(_CLAIMS)))
     payload = F.struct(*carry) if carry else F.lit(None).cast("struct<>")
@@ -58,7 +67,8 @@ def _source_words(sources: DataFrame, key: list[str], text: str, first: str | No
     """Distinct (key, word) of the sources; with ``first``, the smallest ``first`` per word."""
     told = F.array_distinct(tokens(F.lower(F.col(text))))
     keep = [*key, *([F.col(first).alias("_first")] if first else [])]
-    words = unfold(sources, keep, F.concat(F.array(F.lit(_PRESENCE)), told), "_word", "_no")
+    present = F.transform(F.sequence(F.lit(0), F.lit(_PRESENCES - 1)), _presence)
+    words = unfold(sources, keep, F.concat(present, told), "_word", "_no")
     grouped = words.groupBy(*key, "_word")
     return grouped.agg(F.min("_first").alias("_first")) if first else grouped.agg(
         F.lit(True).alias("_first")
@@ -165,8 +175,9 @@ def guard_outputs_join(
     findings = ["_tox", "_entities", "_safe"]
     found = find(responses, response, cfg, query=F.lit(False)).select(*columns, *findings)
     carry = [c for c in [*columns, *findings] if c not in ids]
+    found = found.withColumn("_told", F.when(~F.col("_tox.is_toxic"), F.col("_safe")))
     judged = grounding_join(
-        found, sources, ids, key, "_safe", source, before,
+        found, sources, ids, key, "_told", source, before,
         cfg.hallucination_threshold, fanout, carry,
     )
     guarded = judged.withColumn(out, guard_of_findings(F.col(response), F.col("grounding")))

@@ -136,7 +136,8 @@ def guard_messages(
     """Add ``input`` for user messages and ``output`` for assistant messages; else both null."""
     cfg = GuardConfig.of(config)
     body, is_query = F.col(text), F.col(role) == "user"
-    found = find(df, text, cfg, query=is_query)
+    scanned = F.when(F.col(role).isin("user", "assistant"), body)  # other roles have no result
+    found = find(df, scanned, cfg, query=is_query)
     return (
         found.withColumn("_ground", _ground(cfg, sources, None))
         .withColumn("input", F.when(is_query, _input(body)))

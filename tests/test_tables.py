@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from parapet.functions.grounding import grounding
 from parapet.operators.epochs import epoch_plan
 from parapet.operators.exchanges import guard_report, guarded_exchanges, pair_turns
-from parapet.operators.grounding import grounding_join, guard_outputs_join
+from parapet.operators.grounding import _claim_words, grounding_join, guard_outputs_join
 from parapet.operators.guards import guard_outputs, with_pii, with_toxicity
 from parapet.operators.metrics import run_metrics, run_totals
 from parapet.operators.reports import pii_by_type, toxicity_by_category
@@ -62,6 +62,21 @@ def test_grounding_join_equals_grounding_in_the_row(told, fanout):
     assert {rid: a[rid] for rid in checked} == {rid: g for rid, g in b.items() if g is not None}
 
 
+def test_what_responses_of_one_key_carry_is_spread(spark):
+    rows = [(i, 0, f"The vpn {i} is up and running.") for i in range(3000)]
+    df = spark.createDataFrame(rows, "rid int, key int, response string")
+    parts = _claim_words(df, ["rid"], ["key"], ["response"], "response").filter("_row is not null")
+    sizes = [r["count"] for r in parts.groupBy("key", "_word").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 3000 / 20
+
+
+def test_pairing_reads_no_turn_twice_by_a_join(spark):
+    df = spark.createDataFrame([(1, 0, "user", "q")], "conv_id int, turn int, role string, text string")
+    plan = pair_turns(df)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("SortMergeJoin") + plan.count("HashJoin") == 1
+
+
 def test_only_earlier_sources_count(spark):
     rnd = random.Random(12)
     turns = [(c, t, _text(rnd, 3)) for c in range(6) for t in range(1 + 20 * (c == 0) + c)]
