@@ -493,6 +493,10 @@ CHUNKS = f"WITH {_CHUNKS} SELECT doc_id, chunk_no, chunk, n_words FROM chunks"
 CHUNKS_SHORT = f"WITH {chunk_ctes(60, 15)} SELECT doc_id, chunk_no, chunk, n_words FROM chunks"
 PAIRS = f"""WITH {_CHUNKS}, {PAIRS_CTE}
 SELECT doc_id, chunk_no, pair_no, instruction, input, output FROM pairs"""
+RAW_DOCUMENTS = f"""WITH files AS (
+  SELECT doc_id // 64 AS folder, string_agg(text, {NL} ORDER BY doc_id) || {NL} AS text
+  FROM documents GROUP BY 1)
+SELECT folder, length(text) AS n_chars, md5(text) AS digest FROM files"""
 CORPUS_SUMMARY = f"""WITH {_CHUNKS}, {PAIRS_CTE}
 SELECT (SELECT count(*) FROM documents) AS n_files, (SELECT count(*) FROM chunks) AS n_chunks,
   (SELECT count(*) FROM pairs) AS n_pairs"""
@@ -594,6 +598,7 @@ ORACLE: dict[str, str] = {
     "chunks": CHUNKS,
     "chunks_short": CHUNKS_SHORT,
     "instruction_pairs": PAIRS,
+    "raw_documents": RAW_DOCUMENTS,
     "corpus_summary": CORPUS_SUMMARY,
     "samples_jsonl": SAMPLES,
     "prompts": PROMPTS,

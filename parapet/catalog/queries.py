@@ -33,6 +33,7 @@ from parapet.operators.sequences import (
     vocabulary,
 )
 from parapet.session import shared_folder
+from parapet.sources.documents import read_documents
 from parapet.sources.messages import clean_messages
 from parapet.sources.samples import (
     dataset_size,
@@ -377,6 +378,19 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as text files, 64 to a file, a folder each, and read back from them."""
+    folder = f"{_scratch(spark, 'raw-documents')}/files"
+    docs = _texts(spark, sf, "documents", "doc_id", "text")
+    docs = docs.select("doc_id", "text", F.floor(F.col("doc_id") / 64).alias("folder"))
+    placed = docs.repartition("folder").sortWithinPartitions("folder", "doc_id")
+    placed.select("folder", "text").write.partitionBy("folder").text(folder)
+    return read_documents(spark, folder).select(
+        F.regexp_extract("path", r"folder=(\d+)", 1).cast("bigint").alias("folder"),
+        F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"),
+    )
+
+
 def corpus_totals(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_summary(_texts(spark, sf, "documents", "doc_id", "text"))
 
@@ -511,6 +525,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunks": chunks,
     "chunks_short": chunks_short,
     "instruction_pairs": pairs,
+    "raw_documents": raw_documents,
     "corpus_summary": corpus_totals,
     "samples_jsonl": samples_file,
     "prompts": prompts,

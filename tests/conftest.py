@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.checkpoint.dir": folder,
+            "spark.sql.warehouse.dir": f"{folder}/warehouse",
             "spark.driver.memory": "4g",
         },
     )
