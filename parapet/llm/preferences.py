@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parapet.llm.common import keep
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -88,7 +90,9 @@ def sibling_pairs(turns: DataFrame) -> DataFrame:
     keyed = turns.where("size(turns) > 0").withColumn(
         "first", F.sha2(F.to_json(F.get("turns", F.lit(0))), 256)
     )
-    heads = keyed.groupBy("first").agg(F.min("conv_id").alias("chosen_id"))
+    # Stored, so that the join shuffles both sides anew and a first turn of very many
+    # conversations can be split.
+    heads = keep(keyed.groupBy("first").agg(F.min("conv_id").alias("chosen_id")), "first-turns")
     other = keyed.join(heads, "first").where("conv_id <> chosen_id")
     return other.select("chosen_id", F.col("conv_id").alias("rejected_id"),
                         F.col("turns").alias("rejected")).join(
