@@ -23,6 +23,23 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` as a table in the warehouse, filed by ``column``: joins on it need no shuffle."""
+    spark, table_name = df.sparkSession, f"llm_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(files, column).sortBy(column).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
+#: Sides of joins up to this many bytes are broadcast; larger ones are shuffled.
+SMALL_BYTES = 16 << 20
+
+
+def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, to be broadcast if its rows of at most ``row_bytes`` fit into ``SMALL_BYTES``."""
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL_BYTES else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in smaller ones, so that a task holds few texts as Python strings."""
     for batch in batches:

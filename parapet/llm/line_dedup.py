@@ -5,38 +5,37 @@
 2. Lines with the same word set are one class, known by its first line in (doc_id, line_no) order.
 3. Each class files the rarest words of its set, as many as a similar set must share one of (the
    prefix). Filed words whose neighbours by size are all too short or too long are dropped.
-4. A class is first compared with the earliest class filed under each of its words; only classes
-   without a match so far meet all other earlier ones. So a crowd of near copies costs one
-   comparison each, and no match is missed.
-5. Size and position bounds go before the comparison of whole word sets.
+4. A class is first compared with the earliest class filed under each of its words. Only where that
+   one is too different, or turns out to be, it meets all other earlier ones. So a crowd of near
+   copies costs one comparison each, and no match is missed.
+5. Size and position bounds, and a bound on the difference from a bitmap of each set, go before the
+   comparison of whole word sets.
 
 Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parapet.llm.common import keep
+from parapet.llm.common import SMALL_BYTES, if_small, keep, keep_by
+from parapet.operators.rows import unfold
 
 #: Entries of the rarity table. Words that share one share its count, which only costs selectivity.
-RARITY_SLOTS = 1 << 14
+RARITY_SLOTS = 1 << 18
 _LINE = ["doc", "line_no"]
 
 
 def line_words(line: Column) -> Column:
-    """Words of a line, with repeats: white space parts them, A-Z count as small letters."""
-    low = F.translate(line, string.ascii_uppercase, string.ascii_lowercase)
-    return F.array_remove(F.split(low, r"[\x20\x09-\x0D]+"), "")
+    """Words of a line, with repeats: white space parts them, capitals count as small letters."""
+    return F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, line_no, line) of a table (doc, text)."""
-    return docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return unfold(docs, ["doc"], F.split("text", "\n"), "line", "line_no")
 
 
 def _slot(hashed: Column) -> Column:
@@ -45,12 +44,12 @@ def _slot(hashed: Column) -> Column:
 
 def rarity_table(docs: DataFrame) -> Column:
     """A constant array: for each hash slot, a rank that grows with the count of its words."""
-    word = F.explode(line_words(F.col("text"))).alias("word")
-    counts = docs.select(word).groupBy(_slot(F.xxhash64("word")).alias("slot"))
+    seen = unfold(docs, [], line_words(F.col("text")), "word", "at")
+    counts = seen.groupBy(_slot(F.xxhash64("word")).alias("slot"))
     rank = F.floor(F.log2(F.count(F.lit(1)) + 1) * 16).cast("int")
     ranks = {r["slot"]: r["rank"] for r in counts.agg(rank.alias("rank")).collect()}  # one per slot
     listed = ",".join(str(ranks.get(i, 0)) for i in range(RARITY_SLOTS))
-    return F.split(F.lit(listed), ",").cast("array<bigint>")
+    return F.split(F.lit(listed), ",").cast("array<int>")
 
 
 def _ranked_sets(docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
@@ -58,27 +57,40 @@ def _ranked_sets(docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
     hashes = F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))
     # The rank goes into the upper bits, so that plain order is by rarity and then by hash.
     coded = F.transform(F.array_distinct(hashes), lambda h: F.shiftleft(
-        F.get(ranks, _slot(h)), 48).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1))))
+        F.get(ranks, _slot(h)).cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1))))
     sets = _lines(docs).select(*_LINE, F.sort_array(coded).alias("codes"))
     n = F.size("codes")
     need = F.ceil(n * percent / 100).cast("int")
-    return sets.where(n > 0).select(
+
+    def bits(high: int) -> Column:
+        """One half of a bitmap of 128 bits, with a bit for each word."""
+        one = F.lit(1).cast("long")
+        return F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: F.when(
+            c.bitwiseAND(F.lit(64)) == high, acc.bitwiseOR(F.call_function(
+                "shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc))
+
+    # What is filed is met again by 32 bits of its hash: more words may meet, none are missed.
+    filed = F.transform(F.slice("codes", F.lit(1), n - need + 1), lambda c: (
+        c.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int"))
+    return sets.select(
         *_LINE, F.xxhash64("codes").alias("set_a"), F.xxhash64(F.lit(7), "codes").alias("set_b"),
-        n.alias("n"), F.slice("codes", F.lit(1), n - need + 1).alias("filed"),
+        n.alias("n"), bits(0).alias("bits"), bits(64).alias("bits_high"), filed.alias("filed"),
     )
 
 
-def _may_reach(n: str, pos: str, m: str, other: str, percent: int) -> Column:
-    """Whether sets of sizes n and m that share a word at these places can reach the threshold.
+def _may_reach(percent: int) -> Column:
+    """Whether two sets that share a word at these places can reach the threshold.
 
     The words after it are all that can be shared besides; of the shorter set the word must lie in
-    the part that a longer similar one has to meet.
+    the part that a longer similar one has to meet. Sets differ by a word for each bit at least that
+    their bitmaps differ in.
     """
-    need = f"ceil({percent} * ({n} + {m}) / {100 + percent})"
-    short = f"IF({n} <= {m}, {pos} <= {n} - {need}, {other} <= {m} - {need})"
+    need = f"ceil({percent} * (n + n2) / {100 + percent})"
     return F.expr(
-        f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) "
-        f"AND least({n} - {pos}, {m} - {other}) >= {need} AND {short}"
+        f"100 * least(n, n2) >= {percent} * greatest(n, n2) "
+        f"AND least(n - pos, n2 - pos2) >= {need} "
+        f"AND IF(n <= n2, pos <= n - {need}, pos2 <= n2 - {need}) "
+        f"AND bit_count(bits ^ bits2) + bit_count(bits_high ^ bits_high2) <= n + n2 - 2 * {need}"
     )
 
 
@@ -89,11 +101,11 @@ def _matched(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> Data
     """
     pairs = keep(pairs.distinct(), f"{name}-pairs")
     wanted = pairs.select(*_LINE).union(pairs.select("doc2", "line_no2")).distinct()
-    lists = wanted.groupBy("doc").agg(F.collect_set("line_no").alias("nos"))
-    texts = docs.join(lists, "doc").select("doc", F.explode("nos").alias("line_no"),
-                                          F.split("text", "\n").alias("lines"))
-    words = F.array_distinct(line_words(F.get("lines", F.col("line_no"))))
-    words = keep(texts.select(*_LINE, words.alias("w")), f"{name}-words")
+    wanted = keep(wanted, f"{name}-wanted")
+    lines = _lines(docs.join(if_small(wanted.select("doc").distinct(), 64), "doc", "left_semi"))
+    lines = lines.join(if_small(wanted, 96), _LINE, "left_semi")
+    words = F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)))
+    words = keep(lines.select(*_LINE, words.alias("w")), f"{name}-words")
     both = pairs.join(words, _LINE).join(words.toDF("doc2", "line_no2", "w2"), ["doc2", "line_no2"])
     shared = F.size(F.array_intersect("w", "w2"))
     union = F.size("w") + F.size("w2") - shared
@@ -107,28 +119,32 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     ``percent`` Jaccard similarity; the earlier one may be removed itself.
     """
     docs = docs.where("doc is not null and text is not null")
-    sets = keep(_ranked_sets(docs, rarity_table(docs), percent), "line-sets")
-    whole = F.min(F.struct(*_LINE, "n", "filed")).alias("first")
+    sets = keep(_ranked_sets(docs, rarity_table(docs), percent), "line-sets").where("n > 0")
+    own = ["n", "bits", "bits_high"]
+    whole = F.min(F.struct(*_LINE, *own, "filed")).alias("first")
     classes = sets.groupBy("set_a", "set_b").agg(whole).select("first.*")
-    filed = classes.select(*_LINE, "n", F.posexplode("filed").alias("pos", "code"))
-    by_size = Window.partitionBy("code").orderBy("n")
-    near = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (
-        F.lead("n").over(by_size) * percent <= F.col("n") * 100)
-    filed = keep(filed.withColumn("near", near).where("near").drop("near"), "filed-words")
-
-    head = filed.groupBy("code").agg(F.min(F.struct(*_LINE, "n", "pos")).alias("h"))
-    pair = ["doc", "line_no", "doc2", "line_no2"]
-    stars = filed.join(head, "code").selectExpr(
-        *_LINE, "n", "pos", "h.doc doc2", "h.line_no line_no2", "h.n n2", "h.pos pos2"
-    ).where("doc2 < doc or doc2 = doc and line_no2 < line_no")
-    stars = stars.where(_may_reach("n", "pos", "n2", "pos2", percent)).select(*pair)
-    found = _matched(stars, docs, percent, "star-lines")
-
-    open_ = filed.join(found, _LINE, "left_anti")
-    earlier = filed.toDF("doc2", "line_no2", "n2", "pos2", "code")
-    rest = open_.join(earlier, "code").where("doc2 < doc or doc2 = doc and line_no2 < line_no")
-    rest = rest.where(_may_reach("n", "pos", "n2", "pos2", percent)).select(*pair)
-    rest = rest.distinct().join(stars.distinct(), pair, "left_anti")
+    filed = unfold(classes, [*_LINE, *own], F.col("filed"), "code", "pos")
+    code = Window.partitionBy("code")
+    near = (F.lag("n").over(code.orderBy("n")) * 100 >= F.col("n") * percent) | (
+        F.lead("n").over(code.orderBy("n")) * percent <= F.col("n") * 100)
+    head = F.first(F.struct(*_LINE, *own, "pos")).over(code.orderBy(*_LINE))
+    columns, pair = [*_LINE, *own, "pos"], ["doc", "line_no", "doc2", "line_no2"]
+    before = F.expr("doc2 < doc or doc2 = doc and line_no2 < line_no")
+    judged = filed.withColumns({"near": near, "head": head}).where("near").select(
+        "code", *columns, *(F.col(f"head.{c}").alias(f"{c}2") for c in columns)
+    ).withColumn("star", before & _may_reach(percent))
+    judged = judged.select("code", *columns, "star", *(
+        F.when(F.col("star"), F.col(c)).alias(c) for c in ("doc2", "line_no2")))
+    judged = keep_by(judged, "filed-words", "code")
+    stars = keep(judged.where("star").select("code", *columns, "doc2", "line_no2"), "stars")
+    found = _matched(stars.select(*pair), docs, percent, "star-lines")
+
+    earlier = judged.select("code", *(F.col(c).alias(f"{c}2") for c in columns))
+    failed = stars.join(found, _LINE, "left_anti").select("code", *columns)
+    rest = judged.where("not star").select("code", *columns)
+    rest = [open_.join(earlier, "code").where(before & _may_reach(percent)).select(*pair)
+            for open_ in (rest, failed)]
+    rest = keep(rest[0].union(rest[1]).distinct(), "rest-pairs").join(found, _LINE, "left_anti")
     found = found.union(_matched(rest, docs, percent, "rest-lines"))
 
     key = ["set_a", "set_b"]
@@ -180,7 +196,9 @@ def drop_repeated_lines(
     The columns are those of ``docs``; an ``n_chars`` column follows the text. Texts that lose no
     line, null and blank ones among them, stay as they are.
     """
-    flags = _flags(docs, percent, id_col, text_col).where(F.size("_removed") > 0)
+    flags = keep(_flags(docs, percent, id_col, text_col).where(F.size("_removed") > 0), "flags")
+    size = flags.agg(F.sum(F.size("_removed") * 8 + 64).alias("b")).first()["b"] or 0
+    flags = F.broadcast(flags) if size <= SMALL_BYTES else flags
     rows = docs.join(flags, docs[id_col] == flags["_doc"], "left")
     rows = rows.where("_removed is null or size(_removed) < _worded")
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(

@@ -112,7 +112,7 @@ def plain_lines(docs):
     for doc, text in sorted((d, t) for d, t in docs if t is not None):
         gone = []
         for no, line in enumerate(text.split("\n")):
-            words = set(line.encode().lower().split())
+            words = set(re.split(r"[\x20\x09-\x0D]+", line.lower())) - {""}
             if words:
                 if any(100 * len(words & w) >= 80 * len(words | w) for w in kept):
                     gone.append(no)
