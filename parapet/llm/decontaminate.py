@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm.common import keep
+from parapet.llm.common import if_small, keep
 from parapet.operators.rows import unfold
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -129,5 +129,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, **nam
     hits = window_hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
                        keep(windows, "item-windows"))
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    hits = if_small(keep(hits, "contaminated"), 64)
     on = docs[id_col].eqNullSafe(hits["_id"]) & (F.xxhash64(docs[text_col]) == hits["_digest"])
     return docs.join(hits, on, "left_anti")

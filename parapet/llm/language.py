@@ -70,21 +70,25 @@ def train_machines(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 15
     ``y`` holds a column of -1 and 1 per machine; each side of a column weighs the same. Solved by
     accelerated gradient steps on all machines at once.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     share = np.where(y > 0, 0.5 / np.maximum((y > 0).sum(0), 1), 0.5 / np.maximum((y < 0).sum(0), 1))
     share = (share * len(x)).astype(np.float32)
-    w = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    w = np.zeros((x.shape[1] + 1, y.shape[1]), np.float32)
     look, pace, rate = w.copy(), 1.0, 1.0 / (1 / c + 2 * 2 * float(share.max()))
     rate *= 2  # rows have length sqrt(2) at most and spread over many slots
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ look)) * share
-        grad = look * (0.001 / c) - 2 * (x.T @ (y * slack)) / len(x)
-        new = look - rate * grad
+        slack = y * np.maximum(0, 1 - y * margins(x, look)) * share
+        fall = np.vstack([x.T @ slack, slack.sum(0)])
+        new = look - rate * (look * (0.001 / c) - 2 / len(x) * fall)
         turn = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
         look, w, pace = new + (pace - 1) / turn * (new - w), new, turn
     return w
 
 
+def margins(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Margins of machines whose last weight is the offset."""
+    return x @ weights[:-1] + weights[-1]
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Weights of a machine per family, and of one per pair of languages within each family."""
@@ -97,8 +101,7 @@ class LanguageModel:
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The language and the score of each row of ``x``."""
-        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-        near = _shares(x @ self.family_weights)
+        near = _shares(margins(x, self.family_weights))
         pick, score = near.argmax(1), near.max(1)
         out = np.empty(len(x), object)
         for i, family in enumerate(self.families):
@@ -113,7 +116,7 @@ class LanguageModel:
         n = len(self.languages[family])
         if n == 1:
             return np.ones((len(x), 1))
-        share = 1 / (1 + np.exp(-8 * (x @ self.weights[family]).astype(np.float64)))
+        share = 1 / (1 + np.exp(-8 * margins(x, self.weights[family]).astype(np.float64)))
         votes = np.zeros((len(x), n))
         for k, (i, j) in enumerate(self.pairs[family]):
             votes[:, i] += share[:, k]
@@ -121,9 +124,9 @@ class LanguageModel:
         return votes / (n - 1)
 
 
-def _shares(margins: np.ndarray) -> np.ndarray:
+def _shares(margin: np.ndarray) -> np.ndarray:
     """Margins of rival machines as shares that add to 1."""
-    e = np.exp(4 * (margins.astype(np.float64) - margins.max(1, keepdims=True)))
+    e = np.exp(4 * (margin.astype(np.float64) - margin.max(1, keepdims=True)))
     return e / e.sum(1, keepdims=True)
 
 
@@ -139,7 +142,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_language_model(
-    labelled: DataFrame, rows: int = 4000, id_col: str = "doc_id"
+    labelled: DataFrame, rows: int = 2400, id_col: str = "doc_id"
 ) -> LanguageModel | None:
     """A model from ``labelled`` (id, text, lang), or None without a usable row.
 
@@ -161,6 +164,7 @@ def train_language_model(
     taken = taken.sort_values(["lang", "x"])
     x = np.frombuffer(b"".join(taken["x"]), np.float32).reshape(len(taken), DIMENSIONS)
     langs = taken["lang"].to_numpy(object)
+    del taken
     groups = np.array([family_of(lang) for lang in langs], object)
     families = sorted(set(groups))
     languages, pairs, weights = {}, {}, {}
@@ -198,7 +202,7 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):
     return F.coalesce(rest == fold, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, rows: int = 4000) -> DataFrame:
+def identify_languages(docs: DataFrame, rows: int = 2400) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs`` (doc_id, text, lang).
 
     Held-out rows teach nothing. ``lang_pred`` is a language of the learnt rows, or ``und`` with
@@ -214,7 +218,7 @@ def identify_languages(docs: DataFrame, rows: int = 4000) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, languages: list[str] | None = None, rows: int = 4000):
+def keep_identified(docs: DataFrame, languages: list[str] | None = None, rows: int = 2400):
     """``docs`` without the texts whose language is ``und`` or not among ``languages``.
 
     The columns are those of ``docs``.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm.common import components, keep, slices
+from parapet.llm.common import components, if_small, keep, slices
 from parapet.llm.hashing import mix, shingle_set
 
 BANDS, ROWS, MANTISSA = 40, 6, 10
@@ -297,5 +297,5 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Rows that repeat a kept id all stay, as one document; columns are those of ``docs``.
     """
     found = near_duplicates(docs, **options)
-    dropped = found.where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = keep(found.where("not kept").select("doc_id").distinct(), "dropped")
+    return docs.join(if_small(dropped, 32), "doc_id", "left_anti")
