@@ -10,6 +10,8 @@ import sys
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -307,6 +309,48 @@ def test_windows_reach_over_partition_cuts(spark):
     assert {(r.n_links, r.component_id) for r in found} == {(299, 0)}
 
 
+def test_recall_of_large_labels():
+    """Pairs at the threshold meet in windows, by the passes a label of this size and shape gets."""
+    rnd = np.random.default_rng(8)
+    n, pairs, dims, shared = 60_000, 400, 64, 1.2
+    x = rnd.standard_normal((n, dims)).astype(np.float32)
+    x[:, 0] += shared * dims**0.5  # a mean direction that all share
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = rnd.standard_normal((pairs, dims))
+    d -= (d * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    x[pairs : 2 * pairs] = 0.9305 * x[:pairs] + (1 - 0.9305**2) ** 0.5 * d
+    sample = x[:: n // vectors.SAMPLE].astype(np.float64)
+    passes = vectors.passes_needed(sample, n, 0.93, vectors.WINDOW)
+    assert passes > 16 and passes > vectors.passes_needed(sample, n // 10, 0.93, vectors.WINDOW)
+    frame = pd.DataFrame({"unit": [row.astype(np.float64).tobytes() for row in x], "id": np.arange(n),
+                          "grp": "a", "passes": passes})
+    frame["centre"] = [sample.mean(0).astype(np.float32).tobytes()] * n
+    met = np.zeros(pairs, bool)
+    for p in range(passes):
+        batch = next(vectors._signs([p], 64)(iter([pa.RecordBatch.from_pandas(frame)])))
+        place = np.empty(n, int)
+        place[np.argsort(np.array(batch["sign"].to_pylist(), "S8"), kind="stable")] = np.arange(n)
+        met |= abs(place[:pairs] - place[pairs : 2 * pairs]) <= vectors.WINDOW
+    assert met.mean() >= 0.995
+
+
+def test_forest_connects_what_links_connect():
+    rnd = np.random.default_rng(9)
+    a, b = rnd.integers(0, 200, (2, 150))
+    at = vectors._forest(200, a, b)
+
+    def parts(links):
+        low = list(range(200))
+        for _ in range(200):
+            for i, j in links:
+                low[i] = low[j] = min(low[i], low[j])
+        return low
+
+    assert parts(zip_list := list(zip(a, b))) == parts([zip_list[i] for i in at])
+    assert len(at) == 200 - len(set(parts(zip_list)))
+
+
 # --- 5 toxicity ----------------------------------------------------------------------------
 def test_toxicity(spark):
     rnd = random.Random(6)
