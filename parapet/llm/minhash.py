@@ -11,14 +11,14 @@
    from their registers, corrected for register collisions, is not clearly below the threshold; the
    sets of the kept pairs are then compared in full.
 4. Links become components. Texts in buckets that still hold more than one component, as those of
-   one frequent passage do, are banded once more by longer, overlapping draws of registers, which
+   one frequent passage do, are banded once more by longer bands of registers of their own, which
    such texts do not share, and compared by stars again.
 5. Texts that then still stand in one bucket but not in one component are gathered into clusters and
-   compared across components in blocks of ``BLOCK`` texts; only links leave the task. So no star
-   hides a link.
+   compared across components in blocks of ``BLOCK`` texts; only links leave the task. So a star
+   hides a link only if its texts share none of the longer bands.
 
 At similarity 0.8 a pair shares none of 40 bands of 6 registers with probability 5e-6, and none of
-the 64 draws of 10 with probability 7e-4.
+the 108 bands of 10 further registers with as much: no register serves two bands.
 """
 
 from __future__ import annotations
@@ -35,16 +35,21 @@ from parapet.llm.common import components, if_small, keep, slices
 from parapet.llm.hashing import mix, shingle_set
 
 BANDS, ROWS, MANTISSA = 40, 6, 10
-DRAWS, DRAWN = 64, 10
+DRAWS, DRAWN = 108, 10
+#: First seed of the hash functions of the longer bands: far from those of the others.
+FRESH = 1 << 20
 BLOCK = 256
 #: Fixed value: expected share of colliding registers, times 2^mantissa, for sets of equal size.
 COLLISION = 0.169919487159739093975315012348
 SKETCH = "id long, n_shingles long, set_a long, set_b long, registers binary"
 
 
-def registers(shingles: np.ndarray, buckets: int) -> np.ndarray:
-    """Per bucket, leading zeros and mantissa of the minimum of its hash function."""
-    seed = mix(np.arange(1, 2 * buckets + 1, dtype=np.uint64)).astype(np.uint32)
+def registers(shingles: np.ndarray, buckets: int, start: int = 1) -> np.ndarray:
+    """Per bucket, leading zeros and mantissa of the minimum of its hash function.
+
+    Hash functions are seeded by the numbers from ``start`` on.
+    """
+    seed = mix(np.arange(start, start + 2 * buckets, dtype=np.uint64)).astype(np.uint32)
     salt, factor = seed[:buckets], seed[buckets:] | np.uint32(1)
     values = (shingles >> np.uint64(32)).astype(np.uint32)
     low = np.full(buckets, 0xFFFFFFFF, np.uint32)
@@ -56,7 +61,7 @@ def registers(shingles: np.ndarray, buckets: int) -> np.ndarray:
     return zeros << MANTISSA | ((2 * part - 1) * (1 << MANTISSA)).astype(np.uint16)
 
 
-def _sketches(width: int, buckets: int):
+def _sketches(width: int, buckets: int, start: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = {"n": [], "a": [], "b": [], "r": []}
@@ -66,7 +71,7 @@ def _sketches(width: int, buckets: int):
                 digest = [int(np.bitwise_xor.reduce(mix(found + np.uint64(s)))) for s in (3, 7)]
                 for key, value in zip("ab", digest):
                     out[key].append(value - (1 << 63))
-                out["r"].append(registers(found, buckets).tobytes() if len(found) else None)
+                out["r"].append(registers(found, buckets, start).tobytes() if len(found) else None)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             columns = [pa.array(out[k], t) for k, t in zip("nabr", types)]
             ids = batch.column(0).cast(pa.int64())
@@ -96,6 +101,11 @@ def _bands(picks: np.ndarray):
     return run
 
 
+def long_bands() -> np.ndarray:
+    """Which of its registers each of the longer bands holds."""
+    return np.arange(DRAWS * DRAWN).reshape(DRAWS, DRAWN)
+
+
 def _crowds(sketches: DataFrame, picks: np.ndarray) -> DataFrame:
     """(key, id, n, hub, hn): members of buckets with two ids or more.
 
@@ -271,9 +281,9 @@ def near_duplicates(
     links = _links(_stars(crowd, percent).distinct(), side, texts, width, percent)
 
     mixed = _mixed(crowd, components(links)).select("id").distinct()
-    rng = np.random.default_rng(11)
-    draws = np.stack([rng.choice(bands * rows, DRAWN, replace=False) for _ in range(DRAWS)])
-    crowd = keep(_crowds(side.join(mixed, "id", "left_semi"), draws), "starred-again")
+    again = texts.join(mixed, "id", "left_semi").select("id", "text")
+    again = keep(again.mapInArrow(_sketches(width, DRAWS * DRAWN, FRESH), SKETCH), "fresh")
+    crowd = keep(_crowds(again, long_bands()), "starred-again")
     stars = _stars(crowd, percent).distinct().join(links, ["a", "b"], "left_anti")
     links = keep(links.union(_links(stars, side, texts, width, percent)), "links")
     more = keep(_rest(_mixed(crowd, components(links)), side, texts, width, percent), "rest")

@@ -216,6 +216,19 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert sorted(r.doc_id for r in left.collect()) == [i for i in range(len(texts)) if find(i) == i]
 
 
+def test_longer_bands_miss_no_more_than_the_first():
+    picks, rnd = minhash.long_bands(), np.random.default_rng(12)
+    agree = rnd.random((20_000, picks.max() + 1)) < 0.8
+    assert (~agree[:, picks].all(2).any(1)).sum() <= 3  # 90 of them by 64 draws of 240 registers
+    a = np.random.default_rng(1).integers(0, 1 << 63, 900).astype(np.uint64)
+    b = np.concatenate([a[:800], a[:100] ^ np.uint64(0x9E3779B97F4A7C15)])
+    size = minhash.DRAWS * minhash.DRAWN
+    same = minhash.registers(a, size, minhash.FRESH) == minhash.registers(b, size, minhash.FRESH)
+    assert abs(same.mean() - 0.8) < 0.05 and same[picks].all(1).any()
+    first, fresh = (minhash.registers(a, 240, start) for start in (1, minhash.FRESH))
+    assert (first == fresh).mean() < 0.05
+
+
 def test_near_duplicates_with_odd_ids(spark):
     docs = documents(spark, ["a b c", "a b c", "a b c", None], ids=[5, 5, None, None])
     rows = minhash.near_duplicates(docs, width=2).collect()
