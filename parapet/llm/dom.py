@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 
 #: Element names by kind, and words of class, id and role by what they hint at.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript template iframe svg math object select".split())
+RAW = set("script style title textarea iframe".split())  # all but their end tag is text
+UNREAD = set("noscript template svg select".split())  # elements in which nothing is read
 KINDS = {
     "root": "html body #root", "story": "article main", "box": "section div center hgroup details",
     "par": "p", "title": "h1 h2 h3 h4 h5 h6", "list": "ul ol dl menu", "item": "li dt dd summary",
@@ -39,7 +40,7 @@ _SPECIAL = {k: 1 << i for i, k in enumerate(["story", "nav", "header", "footer",
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^<]*\Z",
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|</?[A-Za-z][^<]*\Z",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(
@@ -125,6 +126,45 @@ _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr"
               "td": ("td", "th"), "th": ("td", "th")}
 
 
+def _after_raw(source: str, at: int, name: str) -> int:
+    """Where the page goes on after the content of a raw element, which starts at ``at``."""
+    over = re.compile(rf"</{re.escape(name)}[\s/>]|\Z", re.I).search(source, at)
+    tail = source.find(">", over.start())
+    return len(source) if tail < 0 else tail + 1
+
+
+def _self_closed(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is not part of an unquoted value."""
+    return attributes.endswith("/") and not re.search(r"=[^\s\"']+\Z", attributes)
+
+
+def _after_unread(source: str, at: int, name: str, around: set[str]) -> int:
+    """Where the page goes on after the content of an unread element.
+
+    It ends at its end tag or else where a block ``around`` it does. A block's start tag ends an
+    image or a choice too, which cannot hold one but in foreign objects.
+    """
+    inner, foreign, blocks = 0, 0, dict.fromkeys(around, 0)
+    while match := _TAG.search(source, at):
+        at, tag, ends = match.end(), (match[2] or "").lower(), bool(match[1])
+        if tag == name:
+            if ends and not inner:
+                return at
+            inner += -1 if ends else not _self_closed(match[3])
+        elif tag in RAW and not ends:
+            if not (name == "svg" and _self_closed(match[3])):
+                at = _after_raw(source, at, tag)
+        elif tag == "foreignobject":
+            foreign = max(0, foreign + (-1 if ends else not _self_closed(match[3])))
+        elif tag in KIND_OF and not ends and name in ("svg", "select") and not foreign:
+            return match.start()
+        elif tag in blocks:
+            if ends and not blocks[tag]:
+                return match.start()
+            blocks[tag] += -1 if ends else 1
+    return len(source)
+
+
 def read_page(source: str) -> Page:
     """The blocks of a page. Unclosed and misplaced tags are mended as browsers commonly do."""
     page, at, links = Page(), 0, 0
@@ -165,9 +205,12 @@ def read_page(source: str) -> Page:
                     break  # an inline end tag does not reach out of its block
             continue
         if name in RAW:
-            over = re.compile(rf"</{re.escape(name)}[\s/>]|\Z", re.I).search(source, at)
-            tail = source.find(">", over.start())
-            at = len(source) if tail < 0 else tail + 1
+            at = _after_raw(source, at, name)
+            continue
+        if name in UNREAD:
+            if name != "svg" or not _self_closed(match[3]):
+                around = {n for n, _ in stack if n in KIND_OF}
+                at = _after_unread(source, at, name, around)
             continue
         if name in VOID:
             if name in ("br", "hr"):

@@ -22,6 +22,7 @@ import corpus_pipeline  # noqa: E402
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from parapet.llm import (  # noqa: E402
     decontaminate,
+    dom,
     html_main,
     language,
     licenses,
@@ -442,6 +443,25 @@ def test_generated_pages_are_extracted():
     assert right >= 180
 
 
+@pytest.mark.parametrize(("source", "text"), [
+    ('<p>One <svg class="i"/>two.</p><p>Three <svg><path d="M0"/>x</svg>four.</p>', "One two.\nThree four."),
+    ("<p>A <math/>b <math><mi>x</mi></math> c.</p>", "A b x c."),
+    ("<p>A <object data='v'>see the film</object> b.</p>", "A see the film b."),
+    ("<div><p>A <svg>x</p><p>b.</p></div><p>c <svg>y</svg>d.</p>", "A\nb.\nc d."),
+    ("<div>A <template>x <div>y</div></div><p>b.</p><template>z</template>", "A\nb."),
+    ("<div>A <noscript>x</div><p>b.</p>", "A\nb."),
+    ("<div>A <noscript><div>x</div></noscript> b.</div>", "A b."),
+    ("<div>A <select><option>x<p>b.</p></div>", "A\nb."),
+    ("<p>A <svg><foreignObject><p>x</p></foreignObject></svg>b.</p>", "A b."),
+    ("<p title=it's>Hello there. It's fine <b>x</b></p>", "Hello there. It's fine x"),
+    ('<p>5" disk <img alt="a > b">and <i class="w>x">y</i></p>', '5" disk and y'),
+    ("<p 'odd>A.</p><p class = 'b>c'>d's.</p>", "A.\nd's."),
+])
+def test_odd_markup_loses_no_text(source, text):
+    page = dom.read_page(f"<html><body>{source}</body></html>")
+    assert page.text([True] * len(page.kind)) == text
+
+
 def test_choice_is_consistent():
     page = html_main.read_page("<div><p>a</p><div><p>b</p></div></div><ul><li>c</ul>")
     rnd = random.Random(1)
