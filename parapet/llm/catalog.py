@@ -13,7 +13,10 @@ from parapet.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses, template_b
 from parapet.llm.line_dedup import line_report
 from parapet.llm.minhash import near_duplicates
 from parapet.llm.packing import pack_documents
+from parapet.llm.periodic import periodic_runs
+from parapet.llm.phrases import mine_phrases
 from parapet.llm.preferences import preference_rows
+from parapet.llm.private_data import personal_report
 from parapet.llm.toxicity_chain import score_toxicity
 from parapet.llm.vectors import near_vectors
 
@@ -58,6 +61,18 @@ def chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_rows(table(spark, sf_dir, "conversations"))
 
 
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"), least=10, longest=3, share=50, top=2000)
+
+
+def periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), looped=True, texts=False)
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_report(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op1_line_dedup": line_dedup,
     "op2_minhash_dedup": minhash_dedup,
@@ -69,6 +84,9 @@ LLM_QUERIES = {
     "op8_benchmark_decontamination": benchmark_decontamination,
     "op9_best_fit_packing": best_fit_packing,
     "op10_chat_preferences": chat_preferences,
+    "op11_phrase_collocations": phrase_collocations,
+    "op12_periodic_runs": periodic_run_detection,
+    "op13_personal_data": personal_data,
 }
 LLM_ORACLE = {
     "op7_license_scan": sql.license_scan(
@@ -76,4 +94,5 @@ LLM_ORACLE = {
     ),
     "op8_benchmark_decontamination": sql.DECONTAMINATION,
     "op10_chat_preferences": sql.PREFERENCES,
+    "op11_phrase_collocations": sql.PHRASES,
 }

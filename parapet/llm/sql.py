@@ -110,3 +110,43 @@ SELECT kind, chosen_id, rejected_id, CAST(n AS BIGINT) AS n_prompt_turns,
        {_rendered("b[n + 1:]")} AS rejected, {_mask("b[n + 1:]")} AS rejected_mask
 FROM cut
 """
+
+PHRASES = """
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM piece
+), spans AS (
+  SELECT lang, k, w, unnest(generate_series(1, len(w) - k + 1)) AS i
+  FROM words, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM spans GROUP BY ALL
+), n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang), cand AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10
+), longer AS (
+  SELECT lang, part, max(a) AS a FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part
+    FROM cand WHERE k = 3) GROUP BY lang, part
+), kept AS (
+  SELECT c.* FROM cand c LEFT JOIN longer o ON o.lang = c.lang AND o.part = c.phrase
+  WHERE o.a IS NULL OR 100 * o.a < 50 * c.a
+), cuts AS (
+  SELECT lang, phrase, a, w, unnest(generate_series(1, k - 1)) AS cut FROM kept
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r,
+         CAST((1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cuts c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1:len(c.w)], ' ')
+), worst AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
