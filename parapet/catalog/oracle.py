@@ -68,18 +68,12 @@ FACTUAL_WORDS = (
 STOP_WORDS = (
     "the a an is are was were it to for and or in on at of by with that this".split()
 )
-STOP_WORDS = (
-    "the a an is are was were it to for and or in on at of by with that this".split()
-)
 UNSAFE_OUTPUT_REASON = "Response contained unsafe content and was blocked."
 MASKED_DETAILS = "Masked: "
 SCRUBBED_DETAILS = "Removed: "
 UNVERIFIED_NOTE = (
     "\n\n⚠️ Note: Some claims could not be verified against source documents."
 )
-UNVERIFIED_NOTE = (
-    "\n\n⚠️ Note: Some claims could not be verified against source documents."
-)
 
 
 def _q(text: str) -> str:
@@ -400,8 +394,8 @@ _LED = f"""conv AS (SELECT conv_id, turn, role, CASE WHEN role = 'user'
   ELSE {NL} || ' ' || {probed_sql('text', 'conv_id * 31 + turn')} END AS text FROM conversations)"""
 GUARD_STREAM = GUARD_MESSAGES.replace(CONV, _LED)
 GUARD_STREAM_SOURCES = f"""WITH {_LED}, src AS (
-  SELECT conv_id, [min(text)] AS sources FROM conversations
-  WHERE role = 'user' AND conv_id % 3 <> 0 GROUP BY conv_id),
+  SELECT conv_id, [min(text), max(text)] AS sources FROM conversations
+  WHERE role = 'user' GROUP BY conv_id),
 joined AS (SELECT conv.*, sources FROM conv LEFT JOIN src USING (conv_id)),
 {scan('joined', 'text', 's')}, {safe_cte('s', 'text', 'm')}, {ground_ctes('m', 'safe')}
 SELECT conv_id, turn, role, {input_columns('text', "role = 'user'", out='input_')},
@@ -416,6 +410,11 @@ EXCHANGES = f"""WITH {CONV}, {EXCH}, {EXCH_SOURCES}, {_ANSWERED}
 SELECT conv_id, turn, {input_columns('query', p='i_', out='input_')},
   {output_columns('o_safe', 'answer IS NOT NULL', 'o_', 'output_')} FROM m"""
 
+# Answers an hour late are no longer waited for.
+EXCHANGE_STREAM = EXCHANGES.replace(
+    "a.role = 'assistant'", "a.role = 'assistant' AND a.conv_id % 7 <> 3"
+)
+
 EXCHANGES_GROUNDED = f"""WITH {CONV}, {EXCH}, {EXCH_SOURCES}, {_ANSWERED},
 {ground_ctes('m', 'o_safe')}
 SELECT conv_id, turn, {input_columns('query', p='i_', out='input_')},
@@ -455,6 +454,16 @@ bare AS (SELECT * REPLACE (CASE WHEN role = 'user' THEN trim(text, {BLANKS}) ELS
 SELECT conv_id, turn::bigint AS turn, role, text FROM bare
 WHERE role <> 'user' OR (text <> '' AND lower(text) NOT IN ('quit', 'exit', 'q'))"""
 
+SESSIONS = f"""WITH {CONV}, said AS (
+  SELECT conv_id, turn, role, CASE WHEN role <> 'user' THEN text
+    WHEN (conv_id + turn) % 4 = 3 THEN trim(
+      ([' Quit' || {NL}, 'EXIT', chr(9) || 'q ', '  ', 'quit it'])[(conv_id % 5) + 1], {BLANKS})
+    ELSE trim(text, {BLANKS}) END AS text FROM conv),
+ends AS (SELECT conv_id, min(turn) AS last FROM said
+  WHERE role = 'user' AND (text = '' OR lower(text) IN ('quit', 'exit', 'q')) GROUP BY conv_id)
+SELECT conv_id, turn, role, text FROM said LEFT JOIN ends USING (conv_id)
+WHERE last IS NULL OR turn < last"""
+
 
 # --- documents -----------------------------------------------------------------------------------------
 def cleaned(t: str) -> str:
@@ -493,10 +502,20 @@ CHUNKS = f"WITH {_CHUNKS} SELECT doc_id, chunk_no, chunk, n_words FROM chunks"
 CHUNKS_SHORT = f"WITH {chunk_ctes(60, 15)} SELECT doc_id, chunk_no, chunk, n_words FROM chunks"
 PAIRS = f"""WITH {_CHUNKS}, {PAIRS_CTE}
 SELECT doc_id, chunk_no, pair_no, instruction, input, output FROM pairs"""
-RAW_DOCUMENTS = f"""WITH files AS (
-  SELECT doc_id // 64 AS folder, string_agg(text, {NL} ORDER BY doc_id) || {NL} AS text
-  FROM documents GROUP BY 1)
-SELECT folder, length(text) AS n_chars, md5(text) AS digest FROM files"""
+_FILES = f"""files AS (
+  SELECT doc_id // 64 AS folder,
+    (['a.md', '_b.md', '.c.txt', 'D.TXT', 'e.text', 'f.md'])[doc_id // 64 % 6 + 1] AS source,
+    string_agg(text, {NL} ORDER BY doc_id) || {NL} AS text
+  FROM documents GROUP BY ALL
+  UNION ALL
+  SELECT DISTINCT doc_id // 64, 'empty.md', '' FROM documents)"""
+RAW_DOCUMENTS = f"""WITH {_FILES}
+SELECT folder, source, length(text) AS n_chars, md5(text) AS digest FROM files"""
+RAW_SUMMARY = f"""WITH {_FILES}, docs AS (
+  SELECT row_number() OVER () AS doc_id, source, text FROM files),
+{_CHUNKS.replace("FROM documents", "FROM docs")}, {PAIRS_CTE}
+SELECT (SELECT count(*) FROM files) AS n_files, (SELECT count(*) FROM chunks) AS n_chunks,
+  (SELECT count(*) FROM pairs) AS n_pairs"""
 CORPUS_SUMMARY = f"""WITH {_CHUNKS}, {PAIRS_CTE}
 SELECT (SELECT count(*) FROM documents) AS n_files, (SELECT count(*) FROM chunks) AS n_chunks,
   (SELECT count(*) FROM pairs) AS n_pairs"""
@@ -536,6 +555,28 @@ SELECT doc_id, chunk_no, pair_no,
   CASE WHEN ids IS NOT NULL THEN md5(array_to_string(
     list_concat(ids, list_transform(zeros, lambda x: '-100')), ' ')) END AS labels
 FROM (SELECT *, list_transform(range(2048 - len(ids)), lambda x: '0') AS zeros FROM ids)"""
+SEQUENCES_TOKENIZED = f"""WITH {_CHUNKS}, {PAIRS_CTE}, {PROMPTS_CTE}, bytes AS (
+  SELECT doc_id, chunk_no, pair_no, hex(encode(prompt))[1:4096] AS h FROM prompts),
+ids AS (SELECT doc_id, chunk_no, pair_no, list_transform(range(0, len(h), 2),
+  lambda i: (('0x' || h[i + 1:i + 2])::int + 2)::varchar) AS ids FROM bytes)
+SELECT doc_id, chunk_no, pair_no, md5(array_to_string(list_concat(ids, zeros), ' ')) AS input_ids,
+  md5(array_to_string(list_concat(list_transform(ids, lambda x: '1'), zeros), ' ')) AS attention_mask,
+  md5(array_to_string(list_concat(ids, list_transform(zeros, lambda x: '-100')), ' ')) AS labels
+FROM (SELECT *, list_transform(range(2048 - len(ids)), lambda x: '0') AS zeros FROM ids)"""
+RANK_BATCHES = f"""WITH {_CHUNKS}, {PAIRS_CTE}, {PROMPTS_CTE}, ids AS (
+  SELECT doc_id, chunk_no, pair_no, list_transform(({tokens('prompt')})[1:64],
+    lambda w: length(w)::varchar) AS ids FROM prompts),
+shaped AS (SELECT doc_id || ':' || chunk_no || ':' || pair_no AS key, doc_id, chunk_no, pair_no,
+  array_to_string(list_concat(ids, list_transform(range(64 - len(ids)), lambda x: '0')), ' ')
+  || ' ' || array_to_string(list_concat(ids, list_transform(range(64 - len(ids)), lambda x: '-100')), ' ')
+  AS body FROM ids),
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5('3:' || key), doc_id, chunk_no, pair_no) - 1 AS pos,
+  count(*) OVER () AS total FROM shaped),
+padded AS (SELECT key, body, unnest(range(pos, ceil(total / 5)::bigint * 5, total)) AS position
+  FROM ranked)
+SELECT position % 5 AS rank, position // 5 // 4 AS batch_no, count(*) AS n,
+  md5(string_agg(key || ' ' || body, ';' ORDER BY position)) AS digest
+FROM padded GROUP BY ALL"""
 EPOCH_PLAN = """WITH ranked AS (
   SELECT doc_id, row_number() OVER (ORDER BY md5('3:' || doc_id::varchar), doc_id) - 1 AS pos,
     count(*) OVER () AS total FROM documents),
@@ -585,6 +626,8 @@ ORACLE: dict[str, str] = {
     "guard_messages": GUARD_MESSAGES,
     "guard_stream": GUARD_STREAM,
     "guard_stream_sources": GUARD_STREAM_SOURCES,
+    "grounded_stream": OUTPUT_GUARD_JOIN,
+    "exchange_stream": EXCHANGE_STREAM,
     "guards_configured": GUARDS_CONFIGURED,
     "grounding_rows": GROUNDING_ROWS,
     "grounding_history": GROUNDING_HISTORY,
@@ -594,17 +637,23 @@ ORACLE: dict[str, str] = {
     "guarded_exchanges_grounded": EXCHANGES_GROUNDED,
     "guard_report": GUARD_REPORT,
     "clean_messages": CLEAN_MESSAGES,
+    "session_messages": SESSIONS,
+    "session_stream": SESSIONS,
     "clean_text": CLEAN_TEXT,
     "chunks": CHUNKS,
     "chunks_short": CHUNKS_SHORT,
     "instruction_pairs": PAIRS,
     "raw_documents": RAW_DOCUMENTS,
+    "raw_summary": RAW_SUMMARY,
     "corpus_summary": CORPUS_SUMMARY,
     "samples_jsonl": SAMPLES,
+    "samples_blank_lines": SAMPLES,
     "prompts": PROMPTS,
     "dataset_size": DATASET_SIZE,
     "vocabulary": VOCABULARY,
     "sequences": SEQUENCES,
+    "sequences_tokenized": SEQUENCES_TOKENIZED,
+    "rank_batches": RANK_BATCHES,
     "epoch_plan": EPOCH_PLAN,
     "epoch_plan_file": EPOCH_PLAN,
     "run_history": RUN_HISTORY,

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from parapet.catalog.probes import probed
 from parapet.functions.documents import clean_text as clean
 from parapet.functions.grounding import grounding
+from parapet.functions.text import tokens
 from parapet.functions.toxicity import injection_match
+from parapet.operators.batches import epoch_batches, read_batches, write_batches
 from parapet.operators.documents import chunk_documents, corpus_summary, instruction_pairs
 from parapet.operators.epochs import epoch_plan
 from parapet.operators.exchanges import guard_report, guarded_exchanges, pair_turns
@@ -32,9 +34,11 @@ from parapet.operators.sequences import (
     shape_sequences,
     vocabulary,
 )
+from parapet.operators.tokenizers import byte_tokenizer
 from parapet.session import shared_folder
 from parapet.sources.documents import read_documents
-from parapet.sources.messages import clean_messages
+from parapet.sources.hidden import Folder
+from parapet.sources.messages import clean_messages, until_exit
 from parapet.sources.samples import (
     dataset_size,
     read_history,
@@ -43,6 +47,13 @@ from parapet.sources.samples import (
     write_history,
     write_samples,
 )
+from parapet.streaming.exchanges import (
+    exchange_stream,
+    read_grounded,
+    session_stream,
+    write_grounded,
+    write_stream,
+)
 from parapet.streaming.messages import guard_stream, read_message_stream, write_guarded
 
 DOC, TURN = ("doc_id",), ("conv_id", "turn")
@@ -279,10 +290,89 @@ def guarded_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def guarded_stream_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """The stream with a static table of sources: one query of two conversations in three."""
-    asked = _table(spark, sf, "conversations").filter("role = 'user' and conv_id % 3 <> 0")
-    return _streamed(
-        spark, sf, asked.groupBy("conv_id").agg(F.array(F.min("text")).alias("sources"))
+    """The stream with a static table of sources: two queries of every conversation."""
+    asked = _table(spark, sf, "conversations").filter("role = 'user'")
+    two = F.array(F.min("text"), F.max("text"))
+    return _streamed(spark, sf, asked.groupBy("conv_id").agg(two.alias("sources")))
+
+
+def grounded_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses as a stream, grounded batch by batch in the table of their sources."""
+    schema = _table(spark, sf, "conversations").schema
+    stream = read_message_stream(spark, sf, schema, glob="conversations.parquet")
+    key = F.col("conv_id") * 31 + F.col("turn")
+    said = stream.filter("role = 'assistant'").select(*TURN, probed(F.col("text"), key).alias("response"))
+    out = f"{_scratch(spark, 'grounded')}/rows"
+    write_grounded(
+        said, _attached(spark, sf), out, f"grounded_{uuid.uuid4().hex}", TURN, available_now=True
+    ).awaitTermination()
+    return read_grounded(spark, out).select(*TURN, *_flat_guard("output"))
+
+
+# A stream's clock: a minute a turn from here on.
+_START, _LATER = 1_704_067_200, 2_000_000_000
+
+
+def _timed(turns: DataFrame, late: Column) -> DataFrame:
+    """Turns with a time and the half of the arrivals they come in; ``late`` ones are an hour late."""
+    seconds = F.lit(_START) + 60 * F.col("turn") + F.when(late, 3600).otherwise(0)
+    return turns.select(
+        *TURN, "role", "text", F.timestamp_seconds(seconds).alias("ts"),
+        F.pmod(F.col("conv_id") + F.col("turn"), F.lit(2)).alias("half"),
+    )
+
+
+def _arriving(spark: SparkSession, turns: DataFrame, name: str, transform, columns: list) -> DataFrame:
+    """What ``transform`` makes of the turns as a stream that is stopped half way and goes on.
+
+    Answers come before their queries in every other case. A last message, long after the others,
+    moves the watermark past all of them.
+    """
+    folder = _scratch(spark, name)
+    stream_name = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    last = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("q").alias("text"), F.timestamp_seconds(F.lit(_LATER)).alias("ts"),
+    )
+    for half in (0, 1):
+        arrived = turns.filter(F.col("half") == half).drop("half")
+        if half:
+            arrived = arrived.unionByName(last)
+        arrived.write.mode("append").parquet(f"{folder}/in")
+        stream = read_message_stream(spark, f"{folder}/in", arrived.schema)
+        rows = transform(stream)
+        write_stream(rows, f"{folder}/rows", stream_name, available_now=True).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows").filter("conv_id >= 0").select(*columns)
+
+
+def exchanges_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Guarded exchanges of a stream; the answers of one conversation in seven come too late."""
+    late = (F.col("role") == "assistant") & (F.col("conv_id") % 7 == 3)
+    return _arriving(
+        spark, _timed(_conversations(spark, sf), late), "exchange-stream",
+        lambda m: exchange_stream(m, delay="30 days", patience="10 minutes"),
+        [*TURN, *_flat_guard("input", "input_"), *_flat_guard("output", "output_")],
+    )
+
+
+def _ending(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations, some of whose user turns say a word that ends the session."""
+    turns = _conversations(spark, sf)
+    words = F.array(*[F.lit(w) for w in (" Quit\n", "EXIT", "\tq ", "  ", "quit it")])
+    word = F.get(words, (F.col("conv_id") % 5).cast("int"))
+    says = (F.col("role") == "user") & ((F.col("conv_id") + F.col("turn")) % 4 == 3)
+    return turns.withColumn("text", F.when(says, word).otherwise(F.col("text")))
+
+
+def sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return until_exit(_ending(spark, sf))
+
+
+def sessions_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return _arriving(
+        spark, _timed(_ending(spark, sf), F.lit(False)), "session-stream",
+        lambda m: session_stream(m, delay="30 days", session="30 days"), [*TURN, "role", "text"],
     )
 
 
@@ -378,19 +468,47 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents written as text files, 64 to a file, a folder each, and read back from them."""
+# Names of files in the folders in turn: plain, hidden, upper case, with other line ends, with
+# malformed bytes. Every folder also has an empty one.
+_FILE_NAMES = ("a.md", "_b.md", ".c.txt", "D.TXT", "e.text", "f.md")
+_OTHER_LINES, _MALFORMED = 4, 5
+
+
+def _raw_folder(spark: SparkSession, sf: str) -> str:
+    """Documents written as files, 64 to a file, a folder each."""
     folder = f"{_scratch(spark, 'raw-documents')}/files"
     docs = _texts(spark, sf, "documents", "doc_id", "text")
     docs = docs.select("doc_id", "text", F.floor(F.col("doc_id") / 64).alias("folder"))
-    placed = docs.repartition("folder").sortWithinPartitions("folder", "doc_id")
-    placed.select("folder", "text").write.partitionBy("folder").text(folder)
-    return read_documents(spark, folder).select(
-        F.regexp_extract("path", r"folder=(\d+)", 1).cast("bigint").alias("folder"),
+    kind = F.col("folder") % len(_FILE_NAMES)
+    broken = F.concat("text", F.unhex(F.lit("FFC3")).cast("string"))
+    placed = docs.withColumn("text", F.when(kind == _MALFORMED, broken).otherwise(F.col("text")))
+    placed = placed.repartition("folder").sortWithinPartitions("folder", "doc_id")
+    for rows, line in ((kind != _OTHER_LINES, "\n"), (kind == _OTHER_LINES, "\r\n")):
+        lines = placed.filter(rows).select("folder", "text").write.option("lineSep", line)
+        lines.mode("append").partitionBy("folder").text(folder)
+    files = Folder(spark, folder)
+    for status in files.glob("/folder=*/part-*"):
+        part = status.getPath()
+        parent = part.getParent().toString()
+        number = int(parent.rsplit("=", 1)[1])
+        files.rename(part.toString(), f"{parent}/{_FILE_NAMES[number % len(_FILE_NAMES)]}")
+        files.touch(f"{parent}/empty.md")
+    return folder
+
+
+def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Document files of all kinds of names, read back."""
+    return read_documents(spark, _raw_folder(spark, sf)).select(
+        F.regexp_extract("path", r"folder=(\d+)", 1).cast("bigint").alias("folder"), "source",
         F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"),
     )
 
 
+def raw_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of the same files."""
+    return corpus_summary(read_documents(spark, _raw_folder(spark, sf)))
+
+
 def corpus_totals(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_summary(_texts(spark, sf, "documents", "doc_id", "text"))
 
@@ -404,6 +522,17 @@ def samples_file(spark: SparkSession, sf: str) -> DataFrame:
     return read_samples(spark, f"{folder}/rows")
 
 
+def samples_blank_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples as JSON lines with blank and white lines between them, read back."""
+    folder = _scratch(spark, "samples")
+    docs = _texts(spark, sf, "documents", "doc_id", "source", "text")
+    made = instruction_pairs(chunk_documents(docs, ("doc_id", "source")), ("doc_id", "source"))
+    line = F.to_json(F.struct("instruction", "input", "output", "source"))
+    blanks = F.concat(F.lit("\n \t\n"), line, F.lit("\n"))
+    made.select(blanks.alias("value")).write.text(f"{folder}/rows")
+    return read_samples(spark, f"{folder}/rows")
+
+
 # --- training sequences ----------------------------------------------------------------------
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
     return _prompts(spark, sf).select("doc_id", *_long("chunk_no", "pair_no"), "prompt")
@@ -436,6 +565,30 @@ def sequences(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def sequences_tokenized(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences of a tokenizer of the caller's own."""
+    shaped = shape_sequences(_prompts(spark, sf), tokenizer=byte_tokenizer())
+    return shaped.select(
+        "doc_id", *_long("chunk_no", "pair_no"),
+        *[F.md5(F.array_join(c, " ")).alias(c) for c in ("input_ids", "attention_mask", "labels")],
+    )
+
+
+def rank_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The batches of five ranks, stored and read again: their sequences in order."""
+    samples = _prompts(spark, sf).withColumn("ids", F.transform(tokens(F.col("prompt")), F.length))
+    ready = shape_sequences(samples, max_length=64).drop("prompt")
+    folder = f"{_scratch(spark, 'batches')}/rows"
+    write_batches(epoch_batches(ready, SAMPLE, 3, 5, 4, steps_per_block=64), folder)
+    text = F.concat_ws(" ", F.concat_ws(":", *SAMPLE), F.array_join("input_ids", " "), F.array_join("labels", " "))
+    rows = F.array_sort(F.collect_list(F.struct("slot", text.alias("text"))))
+    batches = read_batches(spark, folder).groupBy("rank", "batch_no").agg(rows.alias("rows"))
+    return batches.select(
+        *_long("rank", "batch_no"), F.size("rows").cast("bigint").alias("n"),
+        F.md5(F.array_join(F.col("rows.text"), ";")).alias("digest"),
+    )
+
+
 def _epoch_plan(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id")
     return epoch_plan(docs, DOC, epoch=3, world_size=7, batch_size=4)
@@ -512,6 +665,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "guard_messages": guarded_messages,
     "guard_stream": guarded_stream,
     "guard_stream_sources": guarded_stream_sources,
+    "grounded_stream": grounded_stream,
+    "exchange_stream": exchanges_stream,
     "guards_configured": configured_guards,
     "grounding_rows": grounding_rows,
     "grounding_history": grounding_history,
@@ -521,17 +676,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "guarded_exchanges_grounded": exchanges_grounded,
     "guard_report": check_report,
     "clean_messages": messages,
+    "session_messages": sessions,
+    "session_stream": sessions_stream,
     "clean_text": clean_text,
     "chunks": chunks,
     "chunks_short": chunks_short,
     "instruction_pairs": pairs,
     "raw_documents": raw_documents,
+    "raw_summary": raw_summary,
     "corpus_summary": corpus_totals,
     "samples_jsonl": samples_file,
+    "samples_blank_lines": samples_blank_lines,
     "prompts": prompts,
     "dataset_size": sample_count,
     "vocabulary": word_ids,
     "sequences": sequences,
+    "sequences_tokenized": sequences_tokenized,
+    "rank_batches": rank_batches,
     "epoch_plan": epoch_order,
     "epoch_plan_file": epoch_plan_file,
     "run_history": run_history,

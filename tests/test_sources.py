@@ -37,7 +37,15 @@ def corpus(tmp_path):
         "e.txt": b"",
         "f.pdf": b"skip me",
         "g.md.bak": b"skip me too",
+        "_h.md": b"hidden",
+        "deep/.i+j %20.TXT": b"with\r\na dot",
+        "deep/_k=l.md": b"not hidden",
+        "deep/.git/m/n.text": b"in a hidden folder",
+        "deep/.git/o.png": b"skip",
+        "p.md._COPYING_": b"skip",
+        "deep/er/q+r {s}[t].md": b"",
     }
+    (root / "deep" / ".git" / "m").mkdir(parents=True)
     for name, content in files.items():
         (root / name).write_bytes(content)
     return str(root)
@@ -45,16 +53,31 @@ def corpus(tmp_path):
 
 def test_document_scan(spark, corpus):
     got = {r.source: r for r in read_documents(spark, corpus).collect()}
-    assert sorted(got) == ["B.MD", "a.md", "c d.Text"]  # Spark plans no split for an empty file
+    assert sorted(got) == [
+        ".i+j %20.TXT", "B.MD", "_h.md", "_k=l.md", "a.md", "c d.Text", "e.txt", "n.text", "q+r {s}[t].md",
+    ]
+    assert got["e.txt"].text == got["q+r {s}[t].md"].text == ""
+    assert got["_h.md"].text == "hidden" and got["_h.md"].path.endswith("/raw docs/_h.md")
+    assert got[".i+j %20.TXT"].text == "with\na dot"
+    assert got["n.text"].path.endswith("/deep/.git/m/n.text")
     assert got["a.md"].text.startswith("# Title\n\n\n\nSome") and got["a.md"].text.endswith("\nEnd")
     assert got["c d.Text"].text == "goodbad� kept"
     assert got["B.MD"].path.endswith("/raw docs/deep/B.MD")
-    assert read_documents(spark, corpus, partitions=3).count() == 3
+    assert read_documents(spark, corpus, partitions=3).count() == 9
+    assert corpus_summary(read_documents(spark, corpus)).first().n_files == 9
 
 
 def test_only_document_files_are_listed(spark, corpus):
     files = read_documents(spark, corpus).inputFiles()
-    assert len(files) == 4 and not any(f.endswith((".pdf", ".bak")) for f in files)
+    assert files and not any(f.endswith((".pdf", ".bak", ".png")) for f in files)
+
+
+def test_folder_without_hidden_or_empty_files(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.md").write_text("one")
+    assert [tuple(r)[1:] for r in read_documents(spark, str(tmp_path / "x")).collect()] == [("a.md", "one")]
+    (tmp_path / "y").mkdir()
+    assert read_documents(spark, str(tmp_path / "y")).collect() == []
 
 
 def test_decoding_equals_python(spark):
