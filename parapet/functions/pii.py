@@ -109,23 +109,123 @@ def pii_entities(text: Column, low: Column | None = None) -> Column:
     return F.when(worth, found).when(text.isNotNull(), none)
 
 
+# --- masks ---------------------------------------------------------------------------------
+# Texts of more different values than this are masked piece by piece.
+_MANY_VALUES = 32
+# Pieces that need the whole fold; a text with more of them is folded as a whole.
+_MANY_PIECES = 64
+_LETTER = r"[\p{L}\p{N}_]"
+_NO_LETTER = r"[^\p{L}\p{N}_]"
+_BLANK = r"[\s\x1c-\x1f]"
+# No value holds one of these characters.
+_FOREIGN = r"[^\p{L}\p{N}_.%+\-@|()/:#\s\x1c-\x1f]"
+# Places that no value spans: behind a foreign character, and behind a blank, where it is followed
+# by what may follow a blank in a value only if no value of the text holds a blank.
+_CUT = rf"(?U)(?<={_FOREIGN})|(?<={_BLANK})(?![\d(:\s\x1c-\x1f])"
+_CUT_AT_BLANKS = rf"(?U)(?<={_FOREIGN})|(?<={_BLANK})(?!{_BLANK})"
+_SHORTEST = 6  # characters of the shortest value
+
+
+def _fold(text: Column, steps: Column) -> Column:
+    return F.aggregate(steps, text, lambda acc, s: F.replace(acc, s["value"], s["mask"]))
+
+
+def _inner(values: Column) -> Column:
+    """Values that stand inside others: among all ends of values, sorted, such a value is followed by
+    a string that starts with it."""
+    ends = F.flatten(F.transform(values, lambda v: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(v) - _SHORTEST + 1, F.lit(1))),
+        lambda i: F.struct(v.substr(i, F.length(v)).alias("s"), (i > 1).alias("part")),
+    )))
+
+    def pairs(order: Column) -> Column:
+        here = F.slice(order, F.lit(1), F.size(order) - 1)
+        return F.zip_with(here, F.slice(order, F.lit(2), F.size(order) - 1), lambda a, b: F.when(
+            ~a["part"] & b["s"].startswith(a["s"]), a["s"]
+        ))
+
+    found = let(F.array_sort(ends), pairs)
+    return F.filter(found, lambda v: v.isNotNull())
+
+
+def _by_pieces(text: Column, steps: Column) -> Column:
+    """The fold, in one pass over the pieces between places that no value spans.
+
+    A piece that holds what a value cannot do without is a value between characters that are no
+    letters, or one of a few others, which are folded by themselves. Null where a text has too many of
+    those, or values that start or end in no letter, or one value of two types: the fold is due.
+    """
+    key = lambda value, mask: F.concat(value, F.lit("\0"), mask)
+    whole = {
+        k: rf"\A(?:{to_java(p, _FIRST[k])})\z" for k, p in lexicon.PII_PATTERNS.items()
+    }
+
+    def mask_of(core: Column) -> Column:
+        fits = [F.when(core.rlike(p), F.lit(f"[{k.upper()}]")) for k, p in whole.items()]
+        return F.coalesce(*fits, F.lit(""))
+
+    def piece(s: Column) -> Column:
+        core = F.regexp_replace(
+            s, rf"(?U)\A{_NO_LETTER}++|(?={_NO_LETTER})(?<!{_NO_LETTER}){_NO_LETTER}++\z", ""
+        )
+        worth, _ = _checks(s, F.lower(s))
+        judged = let(core, lambda c: F.struct(s.alias("s"), c.alias("core"), mask_of(c).alias("mask")))
+        plain = F.struct(
+            s.alias("s"), F.lit(None).cast("string").alias("core"), F.lit(None).cast("string").alias("mask")
+        )
+        return F.when(worth, judged).otherwise(plain)
+
+    def masked(pieces: Column, values: Column) -> Column:
+        keys = F.filter(F.transform(pieces, lambda p: key(p["core"], p["mask"])), lambda k: k.isNotNull())
+        known = F.transform(steps, lambda s: key(s["value"], s["mask"]))
+
+        def around(inner: Column) -> Column:
+            holds = F.filter(steps, lambda s: F.exists(
+                inner, lambda v: s["value"].contains(v) & (s["value"] != v)
+            ))
+            return F.transform(holds, lambda s: key(s["value"], s["mask"]))
+
+        def joined(odd: Column) -> Column:
+            out = F.transform(pieces, lambda p: (
+                F.when(p["core"].isNull(), p["s"])
+                .when(F.array_contains(odd, key(p["core"], p["mask"])), _fold(p["s"], steps))
+                .otherwise(F.replace(p["s"], p["core"], p["mask"]))
+            ))
+            return F.when(F.size(odd) <= _MANY_PIECES, F.array_join(out, ""))
+
+        nested = let(_inner(values), lambda inner: F.when(F.size(inner) > 0, around(inner)).otherwise(
+            F.array().cast("array<string>")
+        ))
+        return let(F.array_union(F.array_except(keys, known), nested), joined)
+
+    def split(values: Column) -> Column:
+        blank = F.exists(values, lambda v: v.rlike(rf"(?U){_BLANK}"))
+        cut = F.when(blank, F.split(text, _CUT, -1)).otherwise(F.split(text, _CUT_AT_BLANKS, -1))
+        edges = F.exists(values, lambda v: v.rlike(rf"(?U)\A{_NO_LETTER}|{_NO_LETTER}\z"))
+        sound = ~edges & (F.size(F.array_distinct(values)) == F.size(values))
+        return F.when(sound, let(F.transform(cut, piece), lambda pieces: masked(pieces, values)))
+
+    return let(F.transform(steps, lambda s: s["value"]), split)
+
+
 def mask_entities(text: Column, entities: Column) -> Column:
     """Replace every literal occurrence of each entity value, in order, by ``[TYPE]``.
 
     A value is replaced everywhere at its first turn and a mask never brings one back, so
-    repeated entities are folded once.
+    repeated entities are folded once. A fold costs values times length; a text of many values
+    is taken piece by piece instead, which gives the same.
     """
-    steps = F.array_distinct(
-        F.transform(
-            entities,
-            lambda e: F.struct(
-                e["value"].alias("value"),
-                F.concat(F.lit("["), F.upper(e["type"]), F.lit("]")).alias("mask"),
-            ),
-        )
-    )
-    folded = F.aggregate(steps, text, lambda acc, s: F.replace(acc, s["value"], s["mask"]))
-    return F.when(F.size(entities) > 0, folded).otherwise(text)
+    # strings are told apart by hashing, structs one by one; no value holds a NUL
+    names = F.array_distinct(F.transform(
+        entities, lambda e: F.concat(e["value"], F.lit("\0["), F.upper(e["type"]), F.lit("]"))
+    ))
+    steps = F.transform(names, lambda n: F.struct(
+        F.substring_index(n, "\0", 1).alias("value"), F.substring_index(n, "\0", -1).alias("mask")
+    ))
+    replaced = let(steps, lambda every: F.when(
+        F.size(every) > _MANY_VALUES, F.coalesce(_by_pieces(text, every), _fold(text, every))
+    ).otherwise(_fold(text, every)))
+    return F.when(F.size(entities) > 0, replaced).otherwise(text)
 
 
 def pii_result(text: Column, entities: Column) -> Column:
