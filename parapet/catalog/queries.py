@@ -388,7 +388,7 @@ def grounding_history(spark: SparkSession, sf: str) -> DataFrame:
     """Each response against all earlier turns of its conversation."""
     judged = grounding_join(
         _responses(spark, sf), _history(spark, sf), TURN, key=["conv_id"],
-        before=("turn", "seq"), fanout=4,
+        before=("turn", "seq"),
     )
     return judged.select(*TURN, *_flat_grounding())
 

@@ -75,6 +75,46 @@ def _source_words(sources: DataFrame, key: list[str], text: str, first: str | No
     )
 
 
+# Buckets of the sketch that finds heavy (key, word) pairs, and the share of responses it looks at.
+_SKETCH = 1 << 16
+_LOOKED_AT = 8
+
+
+def _salts(left: DataFrame, on: list[str], ids: list[str], share: float | None) -> DataFrame:
+    """``(_bucket, _parts)``: into how many parts the rows of a sketch bucket are salted.
+
+    Rows are counted by the hash of ``on`` in at most ``_SKETCH`` buckets, over one response in
+    ``_LOOKED_AT``, chosen by its hash. A bucket of more than ``share`` of all rows (by default one part
+    in as many as there are shuffle partitions) is cut into pieces of that size; the others are not
+    listed. Salts only place rows, so an estimate is enough and the result never depends on it.
+    """
+    share = share or 1 / int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = left.filter(F.pmod(F.xxhash64(F.lit("salt"), *ids), F.lit(_LOOKED_AT)) == 0)
+    counts = some.groupBy(_bucket(on).alias("_bucket")).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))
+    parts = F.ceil(F.col("_n") / (share * F.col("_total"))).cast("int")
+    heavy = counts.join(F.broadcast(total)).select("_bucket", parts.alias("_parts"))
+    return heavy.filter(F.col("_parts") > 1)
+
+
+def _bucket(on: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*on), F.lit(_SKETCH)).cast("int")
+
+
+def _salted(left: DataFrame, right: DataFrame, on: list[str], ids: list[str], share: float | None):
+    """Both sides with a ``_salt``: rows of heavy pairs are spread, their words repeated as often."""
+    salts = F.broadcast(_salts(left, on, ids, share))  # at most 1 / share rows
+    parts = F.coalesce("_parts", F.lit(1))
+    own = F.pmod(F.xxhash64(*ids), parts).cast("int").alias("_salt")
+    every = F.explode(F.sequence(F.lit(0), parts - 1)).alias("_salt")
+    left = left.withColumn("_bucket", _bucket(on)).join(salts, "_bucket", "left")
+    right = right.withColumn("_bucket", _bucket(on)).join(salts, "_bucket", "left")
+    return (
+        left.select("*", own).drop("_bucket", "_parts"),
+        right.select("*", every).drop("_bucket", "_parts"),
+    )
+
+
 def grounding_join(
     responses: DataFrame,
     sources: DataFrame,
@@ -84,8 +124,9 @@ def grounding_join(
     source: str = "source_text",
     before: tuple[str, str] | None = None,
     threshold: float | None = None,
-    fanout: int = 1,
+    fanout: int | None = None,
     carry: Sequence[str] = (),
+    share: float | None = None,
 ) -> DataFrame:
     """Grounding struct per response, ``(*ids, *carry, grounding)``; null without sources.
 
@@ -96,9 +137,9 @@ def grounding_join(
     decides, so no response is ever paired with each of its earlier turns.
 
     Where one key serves a large share of all responses, its frequent words are hot on the
-    response side. Adaptive execution splits such partitions (the source side is unique per
-    key and word); ``fanout`` also salts them into that many parts from the start, at the
-    price of that many copies of the distinct source words.
+    response side. Pairs of key and word that hold more than ``share`` of all rows are found by
+    a sketch and salted, each into as many parts as it needs, so that none is larger than about that;
+    the others are not (``_salts``). ``fanout`` instead salts every pair into that many parts, 1 none.
     """
     ids = list(ids)
     key = list(key) if key else ids
@@ -111,7 +152,10 @@ def grounding_join(
     left = _claim_words(responses, ids, keep, carry, response)
     right = _source_words(sources, key, source, before[1] if before else None)
     on = [*key, "_word"]
-    if fanout > 1:
+    if fanout is None:
+        left, right = _salted(left, right, on, ids, share)
+        on.append("_salt")
+    elif fanout > 1:
         left = left.withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(fanout)).cast("int"))
         right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))))
         on.append("_salt")
@@ -161,7 +205,7 @@ def guard_outputs_join(
     response: str = "response",
     source: str = "source_text",
     before: tuple[str, str] | None = None,
-    fanout: int = 1,
+    fanout: int | None = None,
     out: str = "output",
 ) -> DataFrame:
     """Output guard of responses whose sources are a table; grounding sees the scrubbed text.

@@ -48,7 +48,7 @@ def told(spark):
     )
 
 
-@pytest.mark.parametrize("fanout", [1, 3])
+@pytest.mark.parametrize("fanout", [None, 1, 3])
 def test_grounding_join_equals_grounding_in_the_row(told, fanout):
     df, src, responses, sources = told
     lists = src.groupBy("key").agg(F.collect_list("source_text").alias("sources"))
