@@ -554,10 +554,11 @@ def sequences(spark: SparkSession, sf: str) -> DataFrame:
         (-1 - F.col("doc_id")).alias("doc_id"), F.lit(0).alias("chunk_no"), F.lit(0).alias("pair_no"),
         bare.alias("prompt"),
     )
-    ready = _prompts(spark, sf)
-    stored = f"{_scratch(spark, 'vocabulary')}/rows"
-    vocabulary(ready).write.parquet(stored)
-    ids = encode_words(ready.unionByName(none), spark.read.parquet(stored), SAMPLE)
+    folder = _scratch(spark, "vocabulary")
+    _prompts(spark, sf).repartition(*SAMPLE).write.parquet(f"{folder}/prompts")
+    ready = spark.read.parquet(f"{folder}/prompts")
+    vocabulary(ready).write.parquet(f"{folder}/words")
+    ids = encode_words(ready.unionByName(none), spark.read.parquet(f"{folder}/words"), SAMPLE)
     shaped = shape_sequences(ids)
     return shaped.select(
         "doc_id", *_long("chunk_no", "pair_no"),
