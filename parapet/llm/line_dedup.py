@@ -16,6 +16,7 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,8 +48,10 @@ def rarity_table(docs: DataFrame) -> Column:
     seen = unfold(docs, [], line_words(F.col("text")), "word", "at")
     counts = seen.groupBy(_slot(F.xxhash64("word")).alias("slot"))
     rank = F.floor(F.log2(F.count(F.lit(1)) + 1) * 16).cast("int")
-    ranks = {r["slot"]: r["rank"] for r in counts.agg(rank.alias("rank")).collect()}  # one per slot
-    listed = ",".join(str(ranks.get(i, 0)) for i in range(RARITY_SLOTS))
+    found = counts.agg(rank.alias("rank")).toArrow()  # one row per slot
+    ranks = np.zeros(RARITY_SLOTS, np.int64)
+    ranks[found.column("slot").to_numpy()] = found.column("rank").to_numpy()
+    listed = ",".join(map(str, ranks.tolist()))
     return F.split(F.lit(listed), ",").cast("array<int>")
 
 
