@@ -221,12 +221,19 @@ def identify_languages(docs: DataFrame, rows: int = 2400) -> DataFrame:
 def keep_identified(docs: DataFrame, languages: list[str] | None = None, rows: int = 2400):
     """``docs`` without the texts whose language is ``und`` or not among ``languages``.
 
-    The columns are those of ``docs``.
+    The columns are those of ``docs``. Where no row could be learnt from, every text with a letter
+    stays, unless ``languages`` asks for some, which then fails.
     """
     model = train_language_model(docs.where(~held_out()), rows)
+    if model is None and languages is not None:
+        raise ValueError("no labelled row to learn languages from")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            if model is None:
+                good = map(has_letter, batch.column("text").to_pylist())
+                yield batch.filter(pa.array(good, pa.bool_()))
+                continue
             texts = batch.select(["doc_id", "text"])
             langs = next(_scored(model)(iter([texts]))).column(1).to_pylist()
             good = [x != UNKNOWN and (languages is None or x in languages) for x in langs]
