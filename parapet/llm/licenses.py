@@ -1,8 +1,9 @@
 """Licence scan: lines, paragraphs and whole texts against licence templates by word bigrams.
 
 A unit's normalised words give its set of bigrams; only templates whose number of bigrams lets the
-Dice coefficient reach the threshold are compared. All of it is one projection over the documents:
-no join, no shuffle, and only DataFrame functions.
+Dice coefficient reach the threshold are compared, and only texts that hold one of a few words which no
+match can be without are split at all. All of it is one projection over the documents: no join, no
+shuffle, and only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -96,6 +97,43 @@ def units(text: Column) -> Column:
     ))
 
 
+_COMMON = set("this that with from have will without under into including".split())
+
+
+def gate_words(templates: list[tuple[str, str]], threshold: float) -> list[str]:
+    """Strings of which every text that matches a template holds one, in a word.
+
+    A unit that reaches the threshold lacks at most (2 - 2 threshold) / (2 - threshold) of a template's
+    bigrams, so it holds one of any set of more. Words are taken, those in most bigrams that are still
+    needed first, until such a set of each template's bigrams holds one of them.
+    """
+    share = (2 - 2 * threshold) / (2 - threshold)
+    needed = []
+    for _, text in templates:
+        grams = [set(g.split()) for g in template_bigrams(text)]
+        needed.append((grams, int(len(grams) * share + 1e-9) + 1))
+    words: list[str] = []
+    while True:
+        count: dict[str, float] = {}
+        for grams, least in needed:
+            have = sum(1 for g in grams if g & set(words))
+            for g in grams if have < least else ():
+                for w in g - set(words):
+                    # long words are rarer in other texts; a short one is part of many
+                    rare = 1e-6 if len(w) < 4 or w in _COMMON else len(w) ** 2
+                    count[w] = count.get(w, 0) + rare / least
+        if not count:
+            return [w for w in words if not any(v != w and v in w for v in words)]
+        words.append(max(sorted(count), key=count.get))
+
+
+def _unused(name: str, df: DataFrame) -> str:
+    """``name``, led by as many underscores as make it unlike the columns of ``df``."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def license_matches(
     docs: DataFrame,
     text_col: str = "text",
@@ -116,7 +154,12 @@ def license_matches(
     ))
     parts = F.transform(units(F.col(text_col)), lambda u: F.struct(
         u.alias("unit"), bigrams(u).alias("grams")))
-    sized = docs.withColumn("_units", parts)
+    low = F.lower(F.col(text_col))
+    worth = F.lit(False)
+    for word in gate_words(templates, threshold):
+        worth = worth | low.contains(word)
+    units_col = _unused("_units", docs)
+    sized = docs.withColumn(units_col, F.when(worth, parts))
 
     def compared(u: Column) -> Column:
         n = F.size(u["grams"])
@@ -132,11 +175,11 @@ def license_matches(
         return F.transform(F.slice(F.array_sort(rank), 1, 1), lambda m: F.struct(
             m["unit"].alias("unit"), m["license"].alias("license"), (-m["less"]).alias("dice")))
 
-    usable = F.filter("_units", lambda u: u["grams"].isNotNull())
+    usable = F.filter(units_col, lambda u: u["grams"].isNotNull())
     reached = F.flatten(F.transform(usable, lambda u: best(
         F.filter(compared(u), lambda m: m["dice"] >= threshold))))
     none = F.array().cast("array<struct<unit:string,license:string,dice:double>>")
-    return sized.withColumn("matches", F.coalesce(reached, none)).drop("_units")
+    return sized.withColumn("matches", F.coalesce(reached, none)).drop(units_col)
 
 
 def scan_licenses(docs: DataFrame, **options) -> DataFrame:
