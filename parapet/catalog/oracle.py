@@ -516,6 +516,14 @@ RAW_SUMMARY = f"""WITH {_FILES}, docs AS (
 {_CHUNKS.replace("FROM documents", "FROM docs")}, {PAIRS_CTE}
 SELECT (SELECT count(*) FROM files) AS n_files, (SELECT count(*) FROM chunks) AS n_chunks,
   (SELECT count(*) FROM pairs) AS n_pairs"""
+CHUNKS_OF_LINES = f"""WITH lines AS (
+  SELECT doc_id // 64 AS folder, doc_id,
+    unnest(string_split(text, {NL})) AS line, unnest(range(len(string_split(text, {NL})))) AS no
+  FROM documents),
+docs AS (SELECT folder AS doc_id, '' AS source,
+  string_agg({cleaned('line')}, {NL} ORDER BY doc_id, no) AS text FROM lines GROUP BY folder),
+{_CHUNKS.replace("FROM documents", "FROM docs").replace(cleaned('text'), 'text')}
+SELECT doc_id AS folder, chunk_no, md5(chunk) AS digest, n_words FROM chunks"""
 CORPUS_SUMMARY = f"""WITH {_CHUNKS}, {PAIRS_CTE}
 SELECT (SELECT count(*) FROM documents) AS n_files, (SELECT count(*) FROM chunks) AS n_chunks,
   (SELECT count(*) FROM pairs) AS n_pairs"""
@@ -642,6 +650,7 @@ ORACLE: dict[str, str] = {
     "clean_text": CLEAN_TEXT,
     "chunks": CHUNKS,
     "chunks_short": CHUNKS_SHORT,
+    "chunks_of_lines": CHUNKS_OF_LINES,
     "instruction_pairs": PAIRS,
     "raw_documents": RAW_DOCUMENTS,
     "raw_summary": RAW_SUMMARY,

@@ -25,6 +25,7 @@ from parapet.operators.guards import (
     with_pii,
     with_toxicity,
 )
+from parapet.operators.long_documents import chunk_lines, read_document_lines
 from parapet.operators.metrics import epoch_rollup, run_metrics, run_totals
 from parapet.operators.reports import pii_by_type, toxicity_by_category
 from parapet.operators.rows import unfold
@@ -509,6 +510,19 @@ def raw_summary(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_summary(read_documents(spark, _raw_folder(spark, sf)))
 
 
+def chunks_of_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of files that are read as lines: documents written one after the other, 64 to a file."""
+    folder = f"{_scratch(spark, 'long-documents')}/files"
+    docs = _texts(spark, sf, "documents", "doc_id", "text")
+    docs = docs.select("doc_id", "text", F.floor(F.col("doc_id") / 64).alias("folder"))
+    placed = docs.repartition("folder").sortWithinPartitions("folder", "doc_id")
+    placed.select("folder", "text").write.partitionBy("folder").text(folder)
+    return chunk_lines(read_document_lines(spark, folder)).select(
+        F.regexp_extract("path", r"folder=(\d+)", 1).cast("bigint").alias("folder"),
+        *_long("chunk_no"), F.md5("chunk").alias("digest"), *_long("n_words"),
+    )
+
+
 def corpus_totals(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_summary(_texts(spark, sf, "documents", "doc_id", "text"))
 
@@ -682,6 +696,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_text": clean_text,
     "chunks": chunks,
     "chunks_short": chunks_short,
+    "chunks_of_lines": chunks_of_lines,
     "instruction_pairs": pairs,
     "raw_documents": raw_documents,
     "raw_summary": raw_summary,
