@@ -61,6 +61,12 @@ def registers(shingles: np.ndarray, buckets: int, start: int = 1) -> np.ndarray:
     return zeros << MANTISSA | ((2 * part - 1) * (1 << MANTISSA)).astype(np.uint16)
 
 
+def _digest(found: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set of shingles, as two signed numbers."""
+    a, b = (int(np.bitwise_xor.reduce(mix(found + np.uint64(s)))) for s in (3, 7))
+    return a - (1 << 63), b - (1 << 63)
+
+
 def _sketches(width: int, buckets: int, start: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -68,9 +74,8 @@ def _sketches(width: int, buckets: int, start: int = 1):
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, width)
                 out["n"].append(len(found))
-                digest = [int(np.bitwise_xor.reduce(mix(found + np.uint64(s)))) for s in (3, 7)]
-                for key, value in zip("ab", digest):
-                    out[key].append(value - (1 << 63))
+                for key, value in zip("ab", _digest(found)):
+                    out[key].append(value)
                 out["r"].append(registers(found, buckets, start).tobytes() if len(found) else None)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             columns = [pa.array(out[k], t) for k, t in zip("nabr", types)]
@@ -81,6 +86,19 @@ def _sketches(width: int, buckets: int, start: int = 1):
     return run
 
 
+def _digested(width: int):
+    """Texts with the digests of their sets, as in the sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            digests = [_digest(shingle_set(t, width)) for t in batch.column(1).to_pylist()]
+            a, b = zip(*digests) if digests else ((), ())
+            columns = [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "set_a", "set_b", "text"])
+
+    return run
+
+
 def _bands(picks: np.ndarray):
     """Rows (key, id, n) for each band, a row of ``picks``: which registers it holds."""
 
@@ -266,18 +284,24 @@ def near_duplicates(
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = keep(rows_in.mapInArrow(_sketches(width, bands * rows), SKETCH), "sketches")
     known = sketches.where("n_shingles > 0 and id is not null")
+    # A class goes by a number of its own, as rows of different sets may share their smallest id.
     classes = known.groupBy("set_a", "set_b").agg(F.min("id").alias("first"))
-    classes = keep(classes, "classes")
+    classes = keep(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
     member = known.select("id", "set_a", "set_b").join(classes, ["set_a", "set_b"])
-    member = keep(member.select("id", "first"), "members")
+    member = keep(member.select("id", "first").distinct(), "members")
 
-    first = known.join(classes.select(F.col("first").alias("id"), "set_a", "set_b"),
-                       ["id", "set_a", "set_b"], "left_semi")
-    first = first.select("id", "n_shingles", "registers").dropDuplicates(["id"])
+    named = classes.withColumnRenamed("first", "id")
+    first = known.join(named, ["id", "set_a", "set_b"])
+    first = first.select(F.col("no").alias("id"), "n_shingles", "registers").dropDuplicates(["id"])
     crowd = keep(_crowds(first, np.arange(bands * rows).reshape(bands, rows)), "starred")
     wanted = crowd.select("id").distinct()
     side = keep(first.join(wanted, "id", "left_semi"), "side")
-    texts = keep(rows_in.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    source = keep(named.join(wanted.toDF("no"), "no", "left_semi"), "wanted")
+    texts = rows_in.join(source.select("id").distinct(), "id", "left_semi").mapInArrow(
+        _digested(width), "id long, set_a long, set_b long, text string"
+    )
+    texts = texts.join(source, ["id", "set_a", "set_b"]).select(F.col("no").alias("id"), "text")
+    texts = keep(texts.dropDuplicates(["id"]), "texts")
     links = _links(_stars(crowd, percent).distinct(), side, texts, width, percent)
 
     mixed = _mixed(crowd, components(links)).select("id").distinct()
@@ -287,9 +311,10 @@ def near_duplicates(
     stars = _stars(crowd, percent).distinct().join(links, ["a", "b"], "left_anti")
     links = keep(links.union(_links(stars, side, texts, width, percent)), "links")
     more = keep(_rest(_mixed(crowd, components(links)), side, texts, width, percent), "rest")
-    same = components(
-        links.union(more).union(member.select(F.col("id").alias("a"), F.col("first").alias("b")))
-    )
+    of_class = classes.select("no", "first")
+    linked = links.union(more).join(of_class.toDF("a", "first_a"), "a")
+    linked = linked.join(of_class.toDF("b", "first_b"), "b").select("first_a", "first_b")
+    same = components(linked.union(member).toDF("a", "b"))
     return (
         sketches.select("id", "n_shingles")
         .join(same, sketches["id"] == same["node"], "left")
