@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapet.config import GuardConfig
@@ -91,10 +91,12 @@ def _salts(left: DataFrame, on: list[str], ids: list[str], share: float | None)
     share = share or 1 / int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = left.filter(F.pmod(F.xxhash64(F.lit("salt"), *ids), F.lit(_LOOKED_AT)) == 0)
     counts = some.groupBy(_bucket(on).alias("_bucket")).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    parts = F.ceil(F.col("_n") / (share * F.col("_total"))).cast("int")
-    heavy = counts.join(F.broadcast(total)).select("_bucket", parts.alias("_parts"))
-    return heavy.filter(F.col("_parts") > 1)
+    every = Window.orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    total = F.sum("_n").over(every)  # over at most _SKETCH rows
+    parts = F.ceil(F.col("_n") / (share * total)).cast("int")
+    return counts.select("_bucket", parts.alias("_parts")).filter(F.col("_parts") > 1)
 
 
 def _bucket(on: list[str]) -> Column:
