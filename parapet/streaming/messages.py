@@ -16,14 +16,20 @@ from parapet.sources.messages import clean_messages
 
 def read_message_stream(
     spark: SparkSession, path: str, schema: StructType | str, file_format: str = "parquet",
-    glob: str | None = None, files_per_batch: int | None = None,
+    glob: str | None = None, files_per_batch: int | None = None, table: str | None = None,
 ) -> DataFrame:
-    """Message files that arrive in a folder; ``glob`` picks one table out of a shared one."""
+    """Message files that arrive in a folder; ``glob`` picks files by name.
+
+    ``table`` picks one table out of a shared folder: a file or a folder of files of that name.
+    """
     reader = spark.readStream.format(file_format).schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if table:
+        # A pattern, as a stream takes no single file otherwise; the first letter is a class of its own.
+        path = f"{path.rstrip('/')}/[{table[0]}]{table[1:]}"
     return reader.load(path)
 
 

@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from parapet.catalog.queries import QUERIES
 from parapet.operators.exchanges import guarded_exchanges, pair_turns
 from parapet.operators.grounding import guard_outputs_join
 from parapet.sources.messages import until_exit
@@ -153,3 +154,19 @@ def test_replayed_batch_adds_no_row(spark, told, tmp_path):
         grounded_batch(responses, 3, sources, str(tmp_path / "out"), ["id"])
     grounded_batch(responses.limit(5), 4, sources, str(tmp_path / "out"), ["id"])
     assert read_grounded(spark, str(tmp_path / "out")).count() == 45
+
+
+@pytest.mark.parametrize("query", ["guard_stream", "guard_stream_sources", "grounded_stream"])
+def test_streams_of_a_table_in_parts(spark, tmp_path, query):
+    texts = ["hi there, the vpn is up", "the vpn is up and it requires a key", "mail a@b.co", None]
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", texts[(c + t) % 4]) for c in range(9) for t in range(6)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.coalesce(1).write.parquet(str(tmp_path / "one"))
+    table.repartition(3).write.parquet(str(tmp_path / "parts" / "conversations.parquet"))
+    (tmp_path / "file").mkdir()
+    part = next((tmp_path / "one").glob("*.parquet"))
+    (tmp_path / "file" / "conversations.parquet").write_bytes(part.read_bytes())
+    got, want = (
+        sorted(map(str, QUERIES[query](spark, str(tmp_path / f)).collect())) for f in ("parts", "file")
+    )
+    assert got == want and len(got) > 20
