@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
@@ -312,3 +313,20 @@ def test_prompts_and_a_caller_tokenizer(spark):
     n = len(short.split())
     assert shaped[0].input_ids == [len(w) for w in short.split()] + [0] * (40 - n)
     assert sum(shaped[0].attention_mask) == n
+
+
+def test_resolved_words_do_not_travel(spark):
+    words = [("common", 2), ("rare", 2 + 131_072), ("rarer", 2 + 131_073)]
+    vocab = spark.createDataFrame(words, "word string, id long")
+    texts = [(1, "a", "rare common"), (1, None, "common rarer"), (None, None, "new rare common"), (2, "a", None), (3, "a", " ")]
+    samples = spark.createDataFrame(texts, "doc long, part string, prompt string")
+    made = encode_words(samples, vocab, ["doc", "part"])
+    plan = made._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
+    assert moved and not any("_known" in columns or "_row" in columns for columns in moved)
+    got = {(r.doc, r.part): r.ids for r in made.collect()}
+    assert got == {
+        (1, "a"): [131_074, 2], (1, None): [2, 131_075], (None, None): [1, 131_074, 2], (2, "a"): None, (3, "a"): [],
+    }
