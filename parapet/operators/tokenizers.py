@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,9 +16,14 @@ def tokenizer(make: Callable[[], Encode]) -> Callable[[Column], Column]:
     """A function of a text Column that returns its token ids, for ``shape_sequences``.
 
     ``make`` builds the tokenizer and is called once for each task; what it returns takes a list of
-    texts and gives a list of ids for each. A null text has null ids and is not passed on.
+    texts and gives a list of ids for each. A null text has null ids and is not passed on. Ids that come
+    as numpy arrays stay arrays, so no id becomes a Python object.
     """
 
+    def plain(found: Sequence[int]) -> Sequence[int]:
+        whole = isinstance(found, np.ndarray) and found.ndim == 1 and found.dtype.kind in "iu"
+        return found if whole else list(map(int, found))
+
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = make()
@@ -26,7 +32,7 @@ def tokenizer(make: Callable[[], Encode]) -> Callable[[Column], Column]:
             out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
             if len(known):
                 out.loc[known.index] = pd.Series(
-                    [list(map(int, x)) for x in encode(known.tolist())], index=known.index, dtype=object
+                    [plain(x) for x in encode(known.tolist())], index=known.index, dtype=object
                 )
             yield out
 
@@ -37,7 +43,7 @@ def byte_tokenizer(first_id: int = 2) -> Callable[[Column], Column]:
     """Every byte of the UTF-8 text is a token: its value plus ``first_id``."""
 
     def make() -> Encode:
-        return lambda texts: [[b + first_id for b in t.encode()] for t in texts]
+        return lambda texts: [np.frombuffer(t.encode(), np.uint8) + np.int32(first_id) for t in texts]
 
     return tokenizer(make)
 

@@ -2,6 +2,8 @@
 
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,15 @@ def test_tokenizer_is_made_once_a_task(spark, tmp_path):
     assert len(open(log).read().split()) <= 2
 
 
+def test_ids_in_arrays_stay_arrays():
+    texts = pd.Series(["ab", None, ""])
+    (made,) = byte_tokenizer().func(iter([texts]))
+    assert isinstance(made[0], np.ndarray) and made[0].tolist() == [99, 100]
+    assert made[1] is None and len(made[2]) == 0
+    (made,) = tokenizer(lambda: lambda texts: [["7", 8.0] for _ in texts]).func(iter([texts]))
+    assert made[0] == [7, 8]
+
+
 def test_vocabulary_file(spark):
     tokenizers = pytest.importorskip("tokenizers")
     file = f"{VOCABULARIES}/byte_bpe_50k.json"
