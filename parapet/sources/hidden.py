@@ -2,18 +2,24 @@
 
 Only the session's Hadoop file system sees them, so they are listed through it, on the driver as
 Spark's own listing is. One call per level of folders finds hidden names; other names are not looked at.
+What is done to single files is done to several at once, as each waits for the file system.
 """
 
 from __future__ import annotations
 
 import posixpath
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parapet.session import shared_folder
 
+# Files that are handled at the same time.
+_AT_ONCE = 32
+
 
 def is_hidden(name: str) -> bool:
     """Whether a scan passes over a file or folder of this name."""
@@ -39,20 +45,31 @@ class Folder:
         found = self.fs.globStatus(self.path(plain + pattern))
         return [] if found is None else found
 
+    def paths(self, pattern: str) -> list[str]:
+        """Paths of what matches below the folder."""
+        return self.each(lambda status: status.getPath().toString(), self.glob(pattern))
+
+    def each(self, act: Callable, *items: Iterable) -> list:
+        """``act`` on all items, some at a time; the first error is raised."""
+        with ThreadPoolExecutor(_AT_ONCE) as pool:
+            return list(pool.map(act, *items))
+
     def hidden_files(self) -> list[str]:
         """Paths of all files with a hidden name, or below a folder with one."""
         found, level = set(), ""
+
+        def files(path: str) -> list[str]:
+            if self.fs.getFileStatus(self.path(path)).isFile():
+                return [path]
+            below, inside = self.fs.listFiles(self.path(path), True), []
+            while below.hasNext():
+                inside.append(below.next().getPath().toString())
+            return inside
+
         while True:
-            for status in self.glob(level + "/{[._]*,*._COPYING_}"):
-                path = status.getPath()
-                if not is_hidden(path.getName()):
-                    continue
-                if status.isFile():
-                    found.add(path.toString())
-                    continue
-                below = self.fs.listFiles(path, True)
-                while below.hasNext():
-                    found.add(below.next().getPath().toString())
+            hits = self.paths(level + "/{[._]*,*._COPYING_}")
+            hidden = [path for path in hits if is_hidden(posixpath.basename(path))]
+            found.update(*self.each(files, hidden))
             level += "/*"
             if not len(self.glob(level + "/*")):
                 return sorted(found)
@@ -77,8 +94,7 @@ def staged(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> tuple
     """Copies of the hidden files with these extensions, under names that scans see.
 
     The folder of copies and a table ``(file_no, path)`` of where they come from; ``None`` where no
-    file is hidden. Bytes pass through the driver a buffer at a time, one file after the other: few
-    files should be hidden.
+    file is hidden. Bytes pass through the driver, a buffer of each of up to ``_AT_ONCE`` files at a time.
     """
     folder = Folder(spark, path)
     files = [
@@ -88,8 +104,8 @@ def staged(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> tuple
     if not files:
         return None
     copies = shared_folder(spark, f"hidden-{uuid.uuid4().hex}")
-    for no, file in enumerate(files):
-        folder.copy(file, f"{copies}/{no}/copy{posixpath.splitext(file)[1]}")
+    names = [f"{copies}/{no}/copy{posixpath.splitext(file)[1]}" for no, file in enumerate(files)]
+    folder.each(folder.copy, files, names)
     return copies, spark.createDataFrame(list(enumerate(files)), "file_no long, path string")
 
 

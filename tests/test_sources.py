@@ -2,6 +2,7 @@
 
 import json
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from parapet.operators.metrics import run_metrics
 from parapet.plans.corpus import documents_to_pairs, prepare_corpus, training_sequences
 from parapet.session import shared_folder
 from parapet.sources.documents import read_documents
+from parapet.sources.hidden import Folder
 from parapet.sources.messages import clean_messages
 from parapet.sources.samples import (
     dataset_size,
@@ -256,3 +258,20 @@ def test_shared_folder(spark):
     assert shared_folder(spark, "x") == f"{root}/x"
     Bare.conf.get = staticmethod(lambda key, *_: {"spark.sql.warehouse.dir": "/w"}.get(key))
     assert shared_folder(Bare, "x") == "/w/x"
+
+
+def test_hidden_files_are_copied_at_the_same_time(spark, tmp_path, monkeypatch):
+    (tmp_path / "in" / ".git").mkdir(parents=True)
+    for name in ("_a.md", ".b.txt", ".git/c.text", ".git/d.md"):
+        (tmp_path / "in" / name).write_text(name)
+    met, copy = threading.Barrier(4, timeout=60), Folder.copy
+
+    def wait(self, source, target):
+        met.wait()  # broken unless four copies are under way
+        copy(self, source, target)
+
+    monkeypatch.setattr(Folder, "copy", wait)
+    got = read_documents(spark, str(tmp_path / "in")).collect()
+    assert sorted((r.source, r.text) for r in got) == [
+        (".b.txt", ".b.txt"), ("_a.md", "_a.md"), ("c.text", ".git/c.text"), ("d.md", ".git/d.md"),
+    ]
