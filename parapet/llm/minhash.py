@@ -100,7 +100,7 @@ def _digested(width: int):
 
 
 def _bands(picks: np.ndarray):
-    """Rows (key, id, n) for each band, a row of ``picks``: which registers it holds."""
+    """Rows (key, band, id, n) for each band, a row of ``picks``: which registers it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = len(picks)
@@ -113,8 +113,9 @@ def _bands(picks: np.ndarray):
             for pick in picks.T:
                 keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, pick])
             ids, sizes = (np.repeat(batch.column(i).to_numpy(), bands) for i in (0, 1))
-            arrays = [pa.array(keys.ravel().view(np.int64)), pa.array(ids), pa.array(sizes)]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "id", "n"])
+            band = np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)
+            arrays = [keys.ravel().view(np.int64), band, ids, sizes]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays)], ["key", "band", "id", "n"])
 
     return run
 
@@ -125,12 +126,12 @@ def long_bands() -> np.ndarray:
 
 
 def _crowds(sketches: DataFrame, picks: np.ndarray) -> DataFrame:
-    """(key, id, n, hub, hn): members of buckets with two ids or more.
+    """(band, size, hub, hn, id, n): members of buckets with two ids or more.
 
     Bucket sizes are counted before any join, so a crowded bucket is folded in the map side.
     """
     banded = sketches.select("id", "n_shingles", "registers").mapInArrow(
-        _bands(picks), "key long, id long, n long"
+        _bands(picks), "key long, band int, id long, n long"
     )
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     crowd = keep(banded.join(sizes, "key"), "crowd")
@@ -138,7 +139,7 @@ def _crowds(sketches: DataFrame, picks: np.ndarray) -> DataFrame:
     ranked = crowd.join(score, "id").withColumn("rank", F.struct("score", -F.col("id"), "n"))
     hubs = ranked.groupBy("key").agg(F.max("rank").alias("h"))
     hubs = hubs.select("key", (-F.col("h.col2")).alias("hub"), F.col("h.n").alias("hn"))
-    return crowd.join(hubs, "key").select("key", "hub", "hn", "id", "n")
+    return crowd.join(hubs, "key").select("band", "size", "hub", "hn", "id", "n")
 
 
 def _stars(crowd: DataFrame, percent: int) -> DataFrame:
@@ -148,16 +149,23 @@ def _stars(crowd: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(crowd: DataFrame, same: DataFrame) -> DataFrame:
-    """Rows of ``crowd`` with their component ``c``, of buckets of several components.
+    """(hub, id, n, c): members of buckets of several components, and their component ``c``.
 
-    Buckets of two have been compared in full by their star.
+    Buckets of two have been compared in full by their star. A hub has one bucket a band, so the
+    buckets in which it meets a member are a set of bits, and those of several components another:
+    a member is one row however many buckets it shares with the hub (one for each 64 bands).
     """
-    placed = crowd.join(same.select(F.col("node").alias("id"), "component"), "id", "left")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band") % 64)
+    met = crowd.where("size > 2").groupBy("hub", "id", F.floor(F.col("band") / 64).alias("part"))
+    met = met.agg(F.min("n").alias("n"), F.bit_or(bit).alias("bits"))
+    placed = met.join(same.select(F.col("node").alias("id"), "component"), "id", "left")
     placed = placed.withColumn("c", F.coalesce("component", "id")).drop("component")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"),
-                                      F.count(F.lit(1)).alias("rows"))
-    mixed = mixed.where("c0 < c1 and rows > 2").select("key")
-    return keep(placed.join(mixed, "key", "left_semi"), "mixed")
+    placed = keep(placed, "placed")
+    own = placed.where("id = hub").select("hub", "part", F.col("c").alias("own"))
+    apart = placed.join(own, ["hub", "part"]).where("c <> own")
+    apart = apart.groupBy("hub", "part").agg(F.bit_or("bits").alias("apart"))
+    mixed = placed.join(apart, ["hub", "part"]).where(F.col("bits").bitwiseAND(F.col("apart")) != 0)
+    return keep(mixed.select("hub", "id", "n", "c").distinct(), "mixed")
 
 
 def _across(width: int, percent: int):
@@ -295,9 +303,10 @@ def near_duplicates(
     first = first.select(F.col("no").alias("id"), "n_shingles", "registers").dropDuplicates(["id"])
     crowd = keep(_crowds(first, np.arange(bands * rows).reshape(bands, rows)), "starred")
     wanted = crowd.select("id").distinct()
-    side = keep(first.join(wanted, "id", "left_semi"), "side")
+    side = keep(first.join(if_small(wanted, 16), "id", "left_semi"), "side")
     source = keep(named.join(wanted.toDF("no"), "no", "left_semi"), "wanted")
-    texts = rows_in.join(source.select("id").distinct(), "id", "left_semi").mapInArrow(
+    here = if_small(source.select("id").distinct(), 16)  # whole texts had better not be shuffled
+    texts = rows_in.join(here, "id", "left_semi").mapInArrow(
         _digested(width), "id long, set_a long, set_b long, text string"
     )
     texts = texts.join(source, ["id", "set_a", "set_b"]).select(F.col("no").alias("id"), "text")
