@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from parapet.operators.positions import hash_bucket
 
 STEPS_PER_BLOCK = 4096
+#: Blocks hold more steps where there would be more of them: each is a file of every rank.
+MOST_BLOCKS = 1024
 
 
 def epoch_batches(
@@ -25,7 +27,8 @@ def epoch_batches(
     Also adds ``position`` and ``block``. The samples themselves are shuffled once, by ``block``: a
     block is a run of positions, cut where buckets of the digest begin, so a row's block
     is known from the bucket counts (at most 2^16) before it moves. A block holds about
-    ``steps_per_block`` steps of every rank. The samples that fill up the last step keep the block
+    ``steps_per_block`` steps of every rank, and more of a large epoch, so that it has ``MOST_BLOCKS``
+    or fewer and files grow with it in size, not in number. The samples that fill up the last step keep the block
     they are in and repeat there.
     """
     if world_size < 1 or batch_size < 1 or steps_per_block < 1:
@@ -43,8 +46,12 @@ def epoch_batches(
         "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"),
         F.sum("_n").over(every).alias("_total"),
     )
-    block = F.floor(F.col("_shift") / (world_size * steps_per_block)).alias("block")
-    placed = hashed.join(F.broadcast(shifts), "_bucket").select("*", block).repartition("block")
+    share = F.ceil(F.col("_total") / MOST_BLOCKS)
+    size = F.greatest(F.lit(world_size * steps_per_block), share)
+    block = F.floor(F.col("_shift") / size).alias("block")
+    # A number keeps adaptive execution from handing the files of all blocks to a few tasks.
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = hashed.join(F.broadcast(shifts), "_bucket").select("*", block).repartition(tasks, "block")
     inside = Window.partitionBy("block", "_bucket").orderBy("_digest", *key)
     first = F.col("_shift") + F.row_number().over(inside) - 1
     padded = F.ceil(F.col("_total") / world_size) * world_size

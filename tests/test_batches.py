@@ -101,3 +101,18 @@ def test_vocabulary_file(spark):
     for i, text in enumerate(texts):
         ids = plain.encode(text, add_special_tokens=False).ids[:16]
         assert rows[i].input_ids == ids + [0] * (16 - len(ids))
+
+
+def test_files_grow_in_size_not_in_number(spark):
+    samples = spark.range(20_000)
+    made = epoch_batches(samples, ["id"], 2, 2, 4, steps_per_block=1)
+    names = ["id", "position", "rank", "step", "batch_no"]
+    plan = epoch_plan(samples, ["id"], 2, 2, 4)
+    assert sorted(map(tuple, made.select(names).collect())) == sorted(map(tuple, plan.select(names).collect()))
+    assert 500 < made.select("block").distinct().count() <= 1024  # 10,000 before
+
+
+def test_files_of_blocks_are_written_by_many_tasks(spark):
+    made = epoch_batches(spark.range(4000), ["id"], 1, 3, 4, steps_per_block=100)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # else adaptive execution gives them all to one task
