@@ -8,8 +8,8 @@
 4. A class is first compared with the earliest class filed under each of its words. Only where that
    one is too different, or turns out to be, it meets all other earlier ones. So a crowd of near
    copies costs one comparison each, and no match is missed.
-5. Size and position bounds, and a bound on the difference from a bitmap of each set, go before the
-   comparison of whole word sets.
+5. Size and position bounds, and a bound on the difference from 64 bits of parity of each set, go
+   before the comparison of whole word sets; 256 bits of those still wanted go before their words.
 
 Only DataFrame functions are used.
 """
@@ -31,7 +31,10 @@ _LINE = ["doc", "line_no"]
 
 def line_words(line: Column) -> Column:
     """Words of a line, with repeats: white space parts them, capitals count as small letters."""
-    return F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
+    # Most lines hold blanks alone, and one plain character needs no pattern.
+    plain = F.split(F.lower(line), " ")
+    words = F.when(line.rlike(r"[\x09-\x0D]"), F.split(F.lower(line), r"[\x20\x09-\x0D]+")).otherwise(plain)
+    return F.array_remove(words, "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -40,12 +43,13 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _slot(hashed: Column) -> Column:
-    return F.pmod(hashed, F.lit(RARITY_SLOTS)).cast("int")
+    return hashed.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")
 
 
 def rarity_table(docs: DataFrame) -> Column:
     """A constant array: for each hash slot, a rank that grows with the count of its words."""
-    seen = unfold(docs, [], line_words(F.col("text")), "word", "at")
+    joined = F.replace("text", F.lit("\n"), F.lit(" "))
+    seen = unfold(docs, [], line_words(joined), "word", "at")
     counts = seen.groupBy(_slot(F.xxhash64("word")).alias("slot"))
     rank = F.floor(F.log2(F.count(F.lit(1)) + 1) * 16).cast("int")
     found = counts.agg(rank.alias("rank")).toArrow()  # one row per slot
@@ -55,6 +59,16 @@ def rarity_table(docs: DataFrame) -> Column:
     return F.split(F.lit(listed), ",").cast("array<int>")
 
 
+def _parity(hashes: Column | str, low: int = 0) -> Column:
+    """64 bits, of which each hash flips one, by its six bits from ``low`` on.
+
+    Sets of hashes differ in as many members at least as their bits differ in.
+    """
+    one = F.lit(1).cast("long")
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function(
+        "shiftleft", one, F.shiftright(h, low).bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def _ranked_sets(docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
     """(doc, line_no, set_a, set_b, n, filed): a digest of each line's word set, and its prefix."""
     hashes = F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))
@@ -65,19 +79,12 @@ def _ranked_sets(docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
     n = F.size("codes")
     need = F.ceil(n * percent / 100).cast("int")
 
-    def bits(high: int) -> Column:
-        """One half of a bitmap of 128 bits, with a bit for each word."""
-        one = F.lit(1).cast("long")
-        return F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: F.when(
-            c.bitwiseAND(F.lit(64)) == high, acc.bitwiseOR(F.call_function(
-                "shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc))
-
     # What is filed is met again by 32 bits of its hash: more words may meet, none are missed.
     filed = F.transform(F.slice("codes", F.lit(1), n - need + 1), lambda c: (
         c.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int"))
     return sets.select(
         *_LINE, F.xxhash64("codes").alias("set_a"), F.xxhash64(F.lit(7), "codes").alias("set_b"),
-        n.alias("n"), bits(0).alias("bits"), bits(64).alias("bits_high"), filed.alias("filed"),
+        n.alias("n"), _parity("codes").alias("bits"), filed.alias("filed"),
     )
 
 
@@ -93,10 +100,15 @@ def _may_reach(percent: int) -> Column:
         f"100 * least(n, n2) >= {percent} * greatest(n, n2) "
         f"AND least(n - pos, n2 - pos2) >= {need} "
         f"AND IF(n <= n2, pos <= n - {need}, pos2 <= n2 - {need}) "
-        f"AND bit_count(bits ^ bits2) + bit_count(bits_high ^ bits_high2) <= n + n2 - 2 * {need}"
+        f"AND bit_count(bits ^ bits2) <= n + n2 - 2 * {need}"
     )
 
 
+def _two_bits(i: int):
+    """Whether the two bits of a hash that :func:`_parity` does not use make ``i``."""
+    return lambda h: F.shiftright(h, 12).bitwiseAND(F.lit(3)) == i
+
+
 def _matched(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
     """(doc, line_no) of later lines whose word set reaches the threshold with the earlier one's.
 
@@ -108,8 +120,20 @@ def _matched(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> Data
     lines = _lines(docs.join(if_small(wanted.select("doc").distinct(), 64), "doc", "left_semi"))
     lines = lines.join(if_small(wanted, 96), _LINE, "left_semi")
     words = F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)))
-    words = keep(lines.select(*_LINE, words.alias("w")), f"{name}-words")
-    both = pairs.join(words, _LINE).join(words.toDF("doc2", "line_no2", "w2"), ["doc2", "line_no2"])
+    # Wider bitmaps part most pairs before their words travel.
+    quarter = [_parity(F.filter("w", _two_bits(i)), 6) for i in range(4)]
+    words = lines.select(*_LINE, words.alias("w"))
+    words = words.select("*", F.size("w").alias("n"), *(q.alias(f"p{i}") for i, q in enumerate(quarter)))
+    words = keep(words, f"{name}-words")
+    sketch = words.drop("w")
+    other = sketch.select(*(F.col(c).alias(f"{c}2" if c in _LINE else f"{c}_2") for c in sketch.columns))
+    differ = " + ".join(f"bit_count(p{i} ^ p{i}_2)" for i in range(4))
+    need = f"ceil({percent} * (n + n_2) / {100 + percent})"
+    near = pairs.join(sketch, _LINE).join(other, ["doc2", "line_no2"])
+    near = near.where(f"{differ} <= n + n_2 - 2 * {need}")
+    near = keep(near.select(*_LINE, "doc2", "line_no2"), f"{name}-near")
+    words = words.select(*_LINE, "w")
+    both = near.join(words, _LINE).join(words.toDF("doc2", "line_no2", "w2"), ["doc2", "line_no2"])
     shared = F.size(F.array_intersect("w", "w2"))
     union = F.size("w") + F.size("w2") - shared
     return keep(both.where(100 * shared >= percent * union).select(*_LINE).distinct(), name)
@@ -123,7 +147,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     docs = docs.where("doc is not null and text is not null")
     sets = keep(_ranked_sets(docs, rarity_table(docs), percent), "line-sets").where("n > 0")
-    own = ["n", "bits", "bits_high"]
+    own = ["n", "bits"]
     whole = F.min(F.struct(*_LINE, *own, "filed")).alias("first")
     classes = sets.groupBy("set_a", "set_b").agg(whole).select("first.*")
     filed = unfold(classes, [*_LINE, *own], F.col("filed"), "code", "pos")
