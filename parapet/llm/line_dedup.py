@@ -4,18 +4,22 @@
    the order is the same for all lines and what every task reads does not grow with the corpus.
 2. Lines with the same word set are one class, known by its first line in (doc_id, line_no) order.
 3. Each class files the rarest words of its set, as many as a similar set must share one of (the
-   prefix). Filed words whose neighbours by size are all too short or too long are dropped.
-4. A class is first compared with the earliest class filed under each of its words. Only where that
-   one is too different, or turns out to be, it meets all other earlier ones. So a crowd of near
-   copies costs one comparison each, and no match is missed.
-5. Size and position bounds, and a bound on the difference from 64 bits of parity of each set, go
-   before the comparison of whole word sets; 256 bits of those still wanted go before their words.
+   prefix). A word common in the corpus is filed together with its next one instead, further down
+   (:func:`_filed`), so that what is filed under one key does not grow with the corpus.
+4. A class is first compared with the closest, by parity, of the earliest classes filed under its
+   words. Where these are too different, or the closest turns out to be, it meets all earlier ones.
+   So a crowd of near copies costs one comparison each, and no match is missed.
+5. Size and position bounds, and a bound on the difference from 64 bits of parity of each set (128
+   of long ones), go before the comparison of whole word sets; 256 bits of those still wanted go
+   before their words.
 
 Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +30,12 @@ from parapet.operators.rows import unfold
 
 #: Entries of the rarity table. Words that share one share its count, which only costs selectivity.
 RARITY_SLOTS = 1 << 18
+#: Words whose slot counts as many are common.
+COMMON = 1023
+#: Sets of more words carry 128 bits of parity: 64 are about as often set as not whatever differs.
+LONG = 72
 _LINE = ["doc", "line_no"]
+_OWN = ["n", "bits", "half"]
 
 
 def line_words(line: Column) -> Column:
@@ -66,25 +75,51 @@ def _parity(hashes: Column | str, low: int = 0) -> Column:
     """
     one = F.lit(1).cast("long")
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function(
-        "shiftleft", one, F.shiftright(h, low).bitwiseAND(F.lit(63)).cast("int"))))
+        "shiftleft", one, (F.shiftright(h, low) if low else h).bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _filed(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` (codes, n) with ``filed``, of which the first ``single`` are words by themselves.
+
+    Two similar sets share ``need`` words, so the first they share stands in the prefix of both. If
+    it is rare, both file it. If not, they share no rare word, so the ``single`` rare ones of a set
+    are all differences. Between the words they share stand few differences (at 75 percent or more
+    fewer than shared words, by two), so some two they share are neighbours in both, the first such
+    at ``last`` at most: each difference can part one pair, and one of the set itself takes a place.
+    """
+    need = F.ceil(F.col("n") * percent / 100).cast("int")
+    sets = sets.withColumn("prefix", F.col("n") - need + 1)
+    rare = F.slice("codes", F.lit(1), F.col("prefix"))
+    if percent >= 75:
+        common = F.lit(int(16 * math.log2(COMMON + 1)) << 48)
+        rare = F.filter(rare, lambda c: c < common)
+    sets = sets.withColumn("rare", rare).withColumn("single", F.size("rare"))
+    last = F.least("n", F.floor(F.col("n") * (2 * (100 - percent)) / 100).cast("int") + 2 - F.col("single"))
+    pairs = F.when(F.col("single") < F.col("prefix"), F.greatest(last - 1 - F.col("single"), F.lit(0)))
+    sets = sets.withColumn("pairs", F.coalesce(pairs, F.lit(0)))
+    both = F.zip_with(
+        F.slice("codes", F.col("single") + 1, F.col("pairs")),
+        F.slice("codes", F.col("single") + 2, F.col("pairs")), lambda a, b: F.xxhash64(a, b))
+    # What is filed is met again by 32 bits of its hash: more words may meet, none are missed.
+    return sets.withColumn("filed", F.transform(F.concat("rare", both), lambda c: (
+        c.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")))
 
 
 def _ranked_sets(docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
-    """(doc, line_no, set_a, set_b, n, filed): a digest of each line's word set, and its prefix."""
+    """(doc, line_no, digest, n, bits, half, single, filed): each line's word set, and its prefix.
+
+    ``half`` is the parity of about half the words of a long set, in the same places as in ``bits``.
+    """
     hashes = F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))
     # The rank goes into the upper bits, so that plain order is by rarity and then by hash.
-    coded = F.transform(F.array_distinct(hashes), lambda h: F.shiftleft(
-        F.get(ranks, _slot(h)).cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1))))
+    coded = F.transform(F.array_distinct(hashes), lambda h: F.shiftleft(F.coalesce(
+        F.get(ranks, _slot(h)), F.lit(0)).cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1))))
     sets = _lines(docs).select(*_LINE, F.sort_array(coded).alias("codes"))
-    n = F.size("codes")
-    need = F.ceil(n * percent / 100).cast("int")
-
-    # What is filed is met again by 32 bits of its hash: more words may meet, none are missed.
-    filed = F.transform(F.slice("codes", F.lit(1), n - need + 1), lambda c: (
-        c.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int"))
+    sets = _filed(sets.withColumn("n", F.size("codes")), percent)
+    half = _parity(F.filter("codes", lambda c: c.bitwiseAND(F.lit(64)) == 64))
     return sets.select(
-        *_LINE, F.xxhash64("codes").alias("set_a"), F.xxhash64(F.lit(7), "codes").alias("set_b"),
-        n.alias("n"), _parity("codes").alias("bits"), filed.alias("filed"),
+        *_LINE, F.xxhash64("codes").alias("digest"), "n", _parity("codes").alias("bits"),
+        F.when(F.col("n") > LONG, half).alias("half"), "single", "filed",
     )
 
 
@@ -93,14 +128,16 @@ def _may_reach(percent: int) -> Column:
 
     The words after it are all that can be shared besides; of the shorter set the word must lie in
     the part that a longer similar one has to meet. Sets differ by a word for each bit at least that
-    their bitmaps differ in.
+    their bitmaps differ in; the halves of two long ones are told apart.
     """
     need = f"ceil({percent} * (n + n2) / {100 + percent})"
     return F.expr(
         f"100 * least(n, n2) >= {percent} * greatest(n, n2) "
         f"AND least(n - pos, n2 - pos2) >= {need} "
         f"AND IF(n <= n2, pos <= n - {need}, pos2 <= n2 - {need}) "
-        f"AND bit_count(bits ^ bits2) <= n + n2 - 2 * {need}"
+        f"AND bit_count(bits ^ bits2) <= n + n2 - 2 * {need} "
+        f"AND (half IS NULL OR half2 IS NULL OR bit_count(half ^ half2) "
+        f"+ bit_count(bits ^ half ^ bits2 ^ half2) <= n + n2 - 2 * {need})"
     )
 
 
@@ -147,24 +184,28 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     docs = docs.where("doc is not null and text is not null")
     sets = keep(_ranked_sets(docs, rarity_table(docs), percent), "line-sets").where("n > 0")
-    own = ["n", "bits"]
-    whole = F.min(F.struct(*_LINE, *own, "filed")).alias("first")
-    classes = sets.groupBy("set_a", "set_b").agg(whole).select("first.*")
-    filed = unfold(classes, [*_LINE, *own], F.col("filed"), "code", "pos")
-    code = Window.partitionBy("code")
-    near = (F.lag("n").over(code.orderBy("n")) * 100 >= F.col("n") * percent) | (
-        F.lead("n").over(code.orderBy("n")) * percent <= F.col("n") * 100)
-    head = F.first(F.struct(*_LINE, *own, "pos")).over(code.orderBy(*_LINE))
-    columns, pair = [*_LINE, *own, "pos"], ["doc", "line_no", "doc2", "line_no2"]
+    key = ["digest", "n", "bits"]
+    whole = F.min(F.struct(*_LINE, "half", "single", "filed")).alias("first")
+    classes = sets.groupBy(*key).agg(whole).select("n", "bits", "first.*")
+    filed = unfold(classes, [*_LINE, *_OWN, "single"], F.col("filed"), "code", "pos")
+    # A pair of words may stand after others that are shared, so its place bounds nothing.
+    filed = filed.withColumn("pos", F.expr("IF(pos < single, pos, 0)")).drop("single")
+    code = Window.partitionBy("code").orderBy(*_LINE)
+    met = F.lag("n").over(code).isNotNull() | F.lead("n").over(code).isNotNull()
+    head = F.first(F.struct(*_LINE, *_OWN, "pos")).over(code)
+    columns, pair = [*_LINE, *_OWN, "pos"], ["doc", "line_no", "doc2", "line_no2"]
     before = F.expr("doc2 < doc or doc2 = doc and line_no2 < line_no")
-    judged = filed.withColumns({"near": near, "head": head}).where("near").select(
+    judged = filed.withColumns({"met": met, "head": head}).where("met").select(
         "code", *columns, *(F.col(f"head.{c}").alias(f"{c}2") for c in columns)
     ).withColumn("star", before & _may_reach(percent))
     judged = judged.select("code", *columns, "star", *(
-        F.when(F.col("star"), F.col(c)).alias(c) for c in ("doc2", "line_no2")))
+        F.when(F.col("star"), F.col(c)).alias(c) for c in ("doc2", "line_no2", "bits2")))
     judged = keep_by(judged, "filed-words", "code")
-    stars = keep(judged.where("star").select("code", *columns, "doc2", "line_no2"), "stars")
-    found = _matched(stars.select(*pair), docs, percent, "star-lines")
+    stars = keep(judged.where("star").select("code", *columns, "doc2", "line_no2", "bits2"), "stars")
+    # One star a line is tried, the closest by parity: a line has many in a crowd of near copies.
+    closest = F.min(F.struct(F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))), "doc2", "line_no2"))
+    tried = stars.groupBy(*_LINE).agg(closest.alias("star")).select(*_LINE, "star.doc2", "star.line_no2")
+    found = _matched(tried, docs, percent, "star-lines")
 
     earlier = judged.select("code", *(F.col(c).alias(f"{c}2") for c in columns))
     failed = stars.join(found, _LINE, "left_anti").select("code", *columns)
@@ -174,23 +215,23 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     rest = keep(rest[0].union(rest[1]).distinct(), "rest-pairs").join(found, _LINE, "left_anti")
     found = found.union(_matched(rest, docs, percent, "rest-lines"))
 
-    key = ["set_a", "set_b"]
-    first = sets.groupBy(*key).agg(F.min(F.struct(*_LINE)).alias("first"))
-    gone = first.select("first.*", *key).join(found, _LINE, "left_semi").select(*key)
-    member = sets.select(*_LINE, *key).join(first, key)
-    member = member.join(gone.withColumn("gone", F.lit(True)), key, "left")
-    same = (F.col("first.doc") == F.col("doc")) & (F.col("first.line_no") == F.col("line_no"))
-    return member.select(*_LINE, (F.col("gone").isNotNull() | ~same).alias("removed"))
+    # Lines stay that are the first of their class and not found; repeated ids may differ in digest.
+    first = sets.groupBy(*key).agg(F.min(F.struct(*_LINE)).alias("first")).select("first.*", "digest")
+    stays = first.join(if_small(found, 64), _LINE, "left_anti").withColumn("stays", F.lit(True))
+    rows = sets.select(*_LINE, "digest", F.lit(False).alias("stays")).union(
+        stays.select(*_LINE, "digest", "stays"))
+    rows = rows.repartition("doc").groupBy(*_LINE, "digest").agg(F.max("stays").alias("stays"))
+    return rows.select(*_LINE, (~F.col("stays")).alias("removed"))
 
 
 def _flags(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(_doc, _worded, _removed): lines with words of each document, and the numbers of its
     removed ones."""
     found = repeated_lines(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), percent)
-    gone = F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line_no"))))
-    return found.groupBy(F.col("doc").alias("_doc")).agg(
-        F.countDistinct("line_no").alias("_worded"), gone.alias("_removed")
-    )
+    found = found.groupBy(*_LINE).agg(F.max("removed").alias("removed"))
+    gone = F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_no"))))
+    return found.groupBy("doc").agg(F.count("line_no").alias("_worded"), gone.alias("_removed")).select(
+        F.col("doc").alias("_doc"), "_worded", "_removed")
 
 
 def line_report(
