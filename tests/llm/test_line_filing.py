@@ -77,7 +77,7 @@ def test_common_words_gather_few_lines(spark, monkeypatch):
     for common in (15, 1 << 30):
         monkeypatch.setattr(line_dedup, "COMMON", common)
         sets = line_dedup._ranked_sets(docs, line_dedup.rarity_table(docs), 80)
-        each = sets.select(F.explode("filed").alias("code")).groupBy("code").count()
+        each = sets.select(F.explode_outer("filed").alias("code")).groupBy("code").count()
         met.append(each.agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0])
     assert met[0] * 20 < met[1]
 
