@@ -84,6 +84,24 @@ def test_phrases_equal_brute_force(spark, monkeypatch):
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
+def test_a_pass_over_texts_takes_several_tries(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"w{rnd.randint(0, 14)}" for _ in range(60)), "en") for i in range(80)]
+    whole = sorted(map(tuple, mine_phrases(documents(spark, rows), least=10).collect()))
+    passes, keep = Counter(), phrases.keep
+    monkeypatch.setattr(phrases, "BLOCK", 20)  # 225 pairs of words: about twelve tries
+    monkeypatch.setattr(phrases, "keep", lambda df, name: (passes.update([(name, *df.columns)]), keep(df, name))[1])
+    split = sorted(map(tuple, mine_phrases(documents(spark, rows), least=10).collect()))
+    assert split == whole == plain_phrases([(g, t) for _, t, g in rows], 10, 50, 2000)
+    assert 1 <= passes["phrases-2", "key", "n", "evidence"] <= 2
+
+
+def test_equal_scores_are_cut_by_their_letters(spark):
+    rows = [(i, f"left{i % 40:02} right{i % 40:02}", "en") for i in range(400)]
+    got = mine_phrases(documents(spark, rows), least=10, top=7).collect()
+    assert [(r.rank, r.phrase, r.a) for r in got] == [(i + 1, f"left{i:02} right{i:02}", 10) for i in range(7)]
+
+
 def test_phrases_of_nothing(spark):
     assert mine_phrases(documents(spark, [])).collect() == []
     assert mine_phrases(documents(spark, [(1, None, None), (2, "one two. three", "en")])).collect() == []
