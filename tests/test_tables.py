@@ -330,3 +330,33 @@ def test_resolved_words_do_not_travel(spark):
     assert got == {
         (1, "a"): [131_074, 2], (1, None): [2, 131_075], (None, None): [1, 131_074, 2], (2, "a"): None, (3, "a"): [],
     }
+
+
+def test_texts_do_not_move_to_be_encoded(spark, monkeypatch):
+    from parapet.operators import sequences as S
+
+    monkeypatch.setattr(S, "_SLICE", 7)  # many blocks, and samples that share a key in several
+    monkeypatch.setattr(S, "_BLOCK_BYTES", 100)
+    blanks = [" ", "\t", "\u00a0", "\u2003\x1c", "\u3000\n", "\x85"]
+    rnd = random.Random(6)
+    texts = [
+        (i % 90 if i % 5 else None, rnd.choice(blanks).join(["", *rnd.choices(WORDS, k=rnd.randint(0, 9)), f"ä{i % 9}", ""]))
+        for i in range(100)
+    ]
+    texts += [(1000, None), (1001, " "), (1002, None), (1002, None)]
+    df = spark.createDataFrame(texts, "k int, prompt string")
+    vocab = spark.createDataFrame(vocabulary(df).collect())
+    place = {r.word: r.id for r in vocab.collect()}
+    made = encode_words(df, vocab, ["k"], max_length=6)
+    plan = made._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
+    assert moved and not any("_text" in columns or "prompt" in columns for columns in moved)
+    want = {}
+    for k, text in texts:
+        words = enumerate((text or "").split()[:6])
+        want.setdefault(k, [text is None, []])[1].extend((at, place[w]) for at, w in words)
+    want = {k: None if none else [i for _, i in sorted(ids)] for k, (none, ids) in want.items()}
+    got = made.collect()
+    assert {r.k: r.ids for r in got} == want and len(got) == len(want)
